@@ -130,18 +130,17 @@ def merged(stored: Star | None, added: Star) -> Star:
     )
 
 
-def orphan_orders(orders: DataFrame, products: DataFrame, customers: DataFrame) -> DataFrame:
-    """Orders that reference a product or customer the dimensions do not hold.
+def orphan_references(orders: DataFrame, products: DataFrame, customers: DataFrame) -> DataFrame:
+    """Product and customer ids used by orders but absent from the dimensions,
+    with the number of orders each. The foreign keys are declared, not enforced.
 
-    The foreign keys are declared, not enforced. Each side is first reduced to
-    distinct references, so a hot product or customer is looked up once.
+    References are counted before the look-up, so a hot id is looked up once.
     """
-    lost = [
-        orders.select(key).na.drop().distinct().join(dimension.select(key), key, "left_anti")
-        for key, dimension in (("ProductID", products), ("CustomerID", customers))
-    ]
-    by_product, by_customer = (
-        orders.join(keys.withColumn(f"no_{k}", F.lit(True)), k, "left")
-        for k, keys in zip(("ProductID", "CustomerID"), lost)
-    )
-    return by_product, by_customer
+
+    def lost(key: str, dimension: DataFrame) -> DataFrame:
+        used = orders.na.drop(subset=[key]).groupBy(key).agg(F.count("*").alias("orders"))
+        return used.join(dimension.select(key), key, "left_anti").select(
+            F.lit(key).alias("reference"), F.col(key).alias("missing_key"), "orders"
+        )
+
+    return lost("ProductID", products).unionByName(lost("CustomerID", customers))

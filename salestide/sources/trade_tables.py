@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from salestide.operators.first_wins import POSITION
 from salestide.schemas import DISCOUNT, PRICE, SHIPPING
 
 
@@ -71,3 +72,56 @@ def orders(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_orderpriority").alias("PaymentMethod"),
         F.col("r_name").alias("Region"),
     )
+
+
+def flat_export(spark: SparkSession, folder: str) -> DataFrame:
+    """The order lines as an untidy flat export: all text, header names, position.
+
+    The order id is deliberately coarse, so ids repeat; names carry the line
+    number, so it shows which row won. Missing, misspelt and unreadable values
+    are put in by fixed rules on the source columns.
+    """
+    size, quantity, date = F.col("p_size"), F.col("l_quantity"), F.col("o_orderdate").cast("date")
+    whole = quantity.cast("bigint").cast("string")
+    price = F.col("p_retailprice").cast(PRICE).cast("string")
+    line = F.col("l_linenumber").cast("string")
+    columns = {
+        "Order ID": F.when(quantity == 50, "").otherwise(line_id("l_orderkey", "l_linenumber")),
+        "Product ID": F.when(quantity == 13, "NULL").otherwise(F.col("l_partkey").cast("string")),
+        "Customer ID": F.when(F.col("n_name") == "NATION_7", "None").otherwise(
+            F.col("o_custkey").cast("string")
+        ),
+        "Product Name": F.when(F.col("l_linenumber") == 1, "N/A").otherwise(
+            F.concat_ws(" / ", "p_name", line)
+        ),
+        "Category": F.when(size == 1, "nan").otherwise(F.col("p_type")),
+        "Region": F.when(F.col("n_name") == "NATION_3", "NA").otherwise(F.col("r_name")),
+        "Date of Sale": F.when(size == 50, F.date_format(date, "dd/MM/yyyy"))
+        .when(size == 49, F.date_format(date, "yyyyMMdd"))
+        .when(size == 48, F.date_format(date, "yyyy-'02-30'"))
+        .when(size == 47, F.date_format(date, "yyyy-MM-dd '10:00:00'"))
+        .when(size == 46, "")
+        .when(F.col("o_orderstatus") == "P", F.date_format(date, "yyyy-M-d"))
+        .otherwise(F.date_format(date, "yyyy-MM-dd")),
+        "Quantity Sold": F.when(quantity == 17, F.concat(whole, F.lit(".5")))
+        .when(F.col("l_returnflag") == "A", F.concat(whole, F.lit(".0")))
+        .otherwise(whole),
+        "Unit Price": F.when(size == 45, "abc")
+        .when(size == 44, F.concat(price, F.lit("5")))
+        .otherwise(price),
+        "Discount": F.when(
+            (F.col("l_linenumber") == 7) & (F.col("l_returnflag") == "R"), "n/a"
+        ).otherwise(F.col("l_discount").cast(DISCOUNT).cast("string")),
+        "Shipping Cost": F.concat(size.cast("string"), F.lit(".00")),
+        "Payment Method": F.col("o_orderpriority"),
+        "Customer Name": F.concat_ws(" / ", "c_name", line),
+        "Customer Email": F.when(F.col("c_mktsegment") == "MACHINERY", "<NA>").otherwise(
+            F.concat(F.lower("c_name"), F.lit("@example.com"))
+        ),
+        "Customer Address": F.concat_ws(", ", "n_name", "r_name"),
+    }
+    return joined_lines(spark, folder).select(
+        *(column.alias(name) for name, column in columns.items()),
+        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate").alias(POSITION),
+        F.col("l_linestatus").alias("line_status"),
+    )
