@@ -49,12 +49,12 @@ def as_written(text: Column) -> Column:
 def parse_amount(text: Column, kind: T.DecimalType) -> Column:
     """Decimal of the given type, rounded half up; null when unparseable or
     out of range."""
-    return as_written(text).try_cast(kind)
+    return text.try_cast(kind)
 
 
 def parse_quantity(text: Column) -> Column:
     """Whole number within ten digits, else null. ``2.0`` is whole, ``2.5`` is not."""
-    whole = as_written(text).try_cast(QUANTITY_AS_DECIMAL)
+    whole = text.try_cast(QUANTITY_AS_DECIMAL)
     return F.when(whole == as_written(text), whole).cast("bigint")
 
 

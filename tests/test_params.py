@@ -1,0 +1,48 @@
+import datetime as dt
+
+import pytest
+
+from salestide.params import MODES, PERIODS, check_choice, check_date, check_limit, check_range
+
+
+def test_dates_are_accepted_as_dates_or_iso_text():
+    day = dt.date(2024, 2, 29)
+    assert check_date(day, "d") == day
+    assert check_date("2024-02-29", "d") == day
+
+
+@pytest.mark.parametrize(
+    "bad",
+    ["invalid", "2024-2-9", "20240209", "2024-02-30", "2024-01-01T00:00", "", None, 5,
+     dt.datetime(2024, 1, 1)],
+)
+def test_other_dates_are_refused(bad):
+    with pytest.raises(ValueError, match="start_date"):
+        check_range(bad, "2024-01-01")
+
+
+def test_both_ends_are_required():
+    with pytest.raises(ValueError, match="end_date"):
+        check_range("2024-01-01", None)
+
+
+def test_start_after_end_is_allowed():
+    assert check_range("2024-02-01", "2024-01-01")
+
+
+@pytest.mark.parametrize(("limit", "meaning"), [(None, None), (0, None), (-1, None), (3, 3)])
+def test_limit(limit, meaning):
+    assert check_limit(limit) == meaning
+
+
+@pytest.mark.parametrize("bad", ["5", 1.5, True])
+def test_limit_is_a_whole_number(bad):
+    with pytest.raises(ValueError, match="limit"):
+        check_limit(bad)
+
+
+def test_choices():
+    assert check_choice("monthly", PERIODS, "period") == "monthly"
+    for allowed in (PERIODS, MODES):
+        with pytest.raises(ValueError, match="not one of"):
+            check_choice("weekly", allowed, "choice")

@@ -1,0 +1,140 @@
+"""Reports against a brute-force evaluation in plain Python, on skewed data."""
+
+import datetime as dt
+import random
+from collections import defaultdict
+from decimal import Decimal
+
+import pytest
+from conftest import row_set, rows_of
+
+from salestide.plans.reports import (
+    revenue_by_category,
+    revenue_by_product,
+    revenue_by_region,
+    revenue_trends,
+    total_revenue,
+)
+from salestide.plans.summary import revenue_summary
+
+RANGE = ("2024-02-10", "2025-01-20")
+
+
+def draw(seed: int):
+    """2,000 orders; a third of them share one product, region and customer."""
+    rng = random.Random(seed)
+    orders = []
+    for i in range(2000):
+        hot = rng.random() < 1 / 3
+        day = dt.date(2024, 1, 1) + dt.timedelta(days=rng.randrange(500))
+        orders.append((
+            f"o{i}",
+            "p0" if hot else f"p{rng.randrange(40)}",
+            "c0" if hot else f"c{rng.randrange(60)}",
+            day.isoformat(),
+            None if rng.random() < 0.02 else rng.randrange(1, 50),
+            f"{rng.randrange(1, 100000) / 100:.2f}",
+            f"{rng.randrange(0, 5000) / 10000:.4f}",
+            f"{rng.randrange(0, 2000) / 100:.2f}",
+            "r0" if hot else rng.choice(["r0", "r1", "r2", None]),
+        ))
+    products = [(f"p{i}", f"name{i % 7}", rng.choice(["k1", "k2", None])) for i in range(30)]
+    return orders, products
+
+
+def brute_force(orders, products):
+    catalog = {p: (name, kind) for p, name, kind in products}
+    groups = defaultdict(list)
+    for oid, p, c, day, qty, price, disc, ship, region in orders:
+        if not RANGE[0] <= day <= RANGE[1]:
+            continue
+        revenue = None
+        if qty is not None:
+            revenue = Decimal(price) * qty * (1 - Decimal(disc)) + Decimal(ship)
+        row = (revenue, qty, p, c)
+        groups["total", None].append(row)
+        groups["region", region].append(row)
+        groups["month", day[:7]].append(row)
+        groups["quarter", f"{day[:4]}-Q{(int(day[5:7]) + 2) // 3}"].append(row)
+        groups["year", day[:4]].append(row)
+        if p in catalog:
+            groups["product", (p, catalog[p][0])].append(row)
+            groups["category", catalog[p][1]].append(row)
+    return {
+        key: (
+            float(sum(r[0] for r in rows if r[0] is not None)),
+            sum(r[1] for r in rows if r[1] is not None),
+            len(rows),
+            len({r[2] for r in rows}),
+            len({r[3] for r in rows}),
+        )
+        for key, rows in groups.items()
+    }
+
+
+def of_kind(expected, kind):
+    return {k: v for (name, k), v in expected.items() if name == kind}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_reports_match_brute_force(make_orders, make_products, seed):
+    order_rows, product_rows = draw(seed)
+    expected = brute_force(order_rows, product_rows)
+    orders = make_orders(order_rows).repartition(5)
+    products = make_products(product_rows)
+
+    total = total_revenue(orders, *RANGE).first()[0]
+    assert total == expected["total", None][0]
+    assert row_set(revenue_by_product(orders, products, *RANGE)) == {
+        (*k, *v[:3]) for k, v in of_kind(expected, "product").items()}
+    assert row_set(revenue_by_category(orders, products, *RANGE)) == {
+        (k, v[0], v[1], v[3], v[2]) for k, v in of_kind(expected, "category").items()}
+    assert row_set(revenue_by_region(orders, *RANGE)) == {
+        (k, v[0], v[1], v[4], v[2]) for k, v in of_kind(expected, "region").items()}
+    for period, kind in (("monthly", "month"), ("quarterly", "quarter"), ("yearly", "year")):
+        assert rows_of(revenue_trends(orders, *RANGE, period)) == [
+            (k, *v[:3]) for k, v in sorted(of_kind(expected, kind).items())]
+
+    best = {kind: max(of_kind(expected, kind).items(), key=lambda g: g[1][0])
+            for kind in ("product", "category", "region")}
+    assert rows_of(revenue_summary(orders, products, *RANGE)) == [(
+        total,
+        (best["product"][0][1], best["product"][1][0]),
+        (best["category"][0], best["category"][1][0]),
+        (best["region"][0], best["region"][1][0]),
+    )]
+
+
+def test_result_does_not_depend_on_partitioning(make_orders, make_products):
+    order_rows, product_rows = draw(3)
+    products = make_products(product_rows)
+    results = [
+        (rows_of(revenue_by_product(o, products, *RANGE)),
+         rows_of(revenue_summary(o, products, *RANGE)))
+        for o in (make_orders(order_rows).repartition(n) for n in (1, 3, 7))
+    ]
+    assert results[0] == results[1] == results[2]
+
+
+def test_sums_agree_across_reports(make_orders, make_products):
+    order_rows, product_rows = draw(4)
+    orders, products = make_orders(order_rows), make_products(product_rows)
+
+    def cents(frame):
+        return round(sum(r.revenue for r in frame.collect()), 4)
+
+    total = round(total_revenue(orders, *RANGE).first()[0], 4)
+    assert cents(revenue_by_region(orders, *RANGE)) == total
+    months = revenue_trends(orders, *RANGE).collect()
+    assert round(sum(r.revenue for r in months), 4) == total
+    for period, label in (
+        ("quarterly", lambda m: f"{m[:4]}-Q{(int(m[5:]) + 2) // 3}"),
+        ("yearly", lambda m: m[:4]),
+    ):
+        rolled = defaultdict(float)
+        for r in months:
+            rolled[label(r.period)] += r.revenue
+        for r in revenue_trends(orders, *RANGE, period).collect():
+            assert round(rolled[r.period], 4) == round(r.revenue, 4)
+    by_product = cents(revenue_by_product(orders, products, *RANGE))
+    assert by_product == cents(revenue_by_category(orders, products, *RANGE)) <= total
