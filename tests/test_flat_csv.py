@@ -1,0 +1,106 @@
+import pytest
+from conftest import flat_row, write_csv
+from pyspark.sql import functions as F
+
+from salestide.operators.first_wins import POSITION
+from salestide.schemas import FLAT_HEADER
+from salestide.sources.flat_csv import read_flat
+
+REORDERED = FLAT_HEADER[::-1]
+
+
+def in_order(frame, *columns):
+    rows = frame.orderBy(POSITION).select(*(F.col(f"`{c}`") for c in columns)).collect()
+    return [tuple(r) for r in rows]
+
+
+@pytest.mark.parametrize("multi_line", [None, True])
+def test_quoting(spark, tmp_path, multi_line):
+    names = ['a,b', 'say "hi"', "two\nlines", '"', 'x\n"y",\nz', "plain"]
+    path = write_csv(tmp_path / "s.csv", [flat_row(order=str(i), name=n) for i, n in enumerate(names)])
+    rows = in_order(read_flat(spark, path, multi_line), "Order ID", "Product Name")
+    assert rows == [(str(i), n) for i, n in enumerate(names)]
+
+
+def test_files_without_line_breaks_are_split(spark, tmp_path):
+    rows = [flat_row(order=str(i), address=f'{i}, "Q" St') for i in range(3000)]
+    path = write_csv(tmp_path / "s.csv", rows)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        frame = read_flat(spark, path)
+        assert frame.rdd.getNumPartitions() > 3
+        assert frame.select(f"{POSITION}.block").distinct().count() > 3
+        assert in_order(frame, "Order ID", "Customer Address") == [
+            (str(i), f'{i}, "Q" St') for i in range(3000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_all_columns_are_text_as_written(spark, tmp_path):
+    rows = [flat_row(order="007"), flat_row(order="1002"), flat_row(order="")]
+    frame = read_flat(spark, write_csv(tmp_path / "s.csv", rows))
+    assert {t for n, t in frame.dtypes if n != POSITION} == {"string"}
+    assert in_order(frame, "Order ID") == [("007",), ("1002",), (None,)]
+
+
+@pytest.mark.parametrize("multi_line", [None, False, True])
+def test_columns_are_found_by_name(spark, tmp_path, multi_line):
+    header = ["Note", *REORDERED]
+    path = write_csv(tmp_path / "s.csv", [flat_row() | {"Note": "n"}], header)
+    frame = read_flat(spark, path, multi_line)
+    assert "Note" not in frame.columns
+    assert in_order(frame, "Order ID", "Category") == [("o1", "Light")]
+
+
+@pytest.mark.parametrize("multi_line", [None, False, True])
+def test_missing_column(spark, tmp_path, multi_line):
+    header = [c for c in FLAT_HEADER if c not in ("Region", "Discount")]
+    path = write_csv(tmp_path / "s.csv", [flat_row()], header)
+    with pytest.raises(ValueError, match="Region, Discount"):
+        read_flat(spark, path, multi_line)
+
+
+def test_missing_column_in_one_of_many_files(spark, tmp_path):
+    write_csv(tmp_path / "in" / "a.csv", [flat_row()])
+    write_csv(tmp_path / "in" / "b.csv", [flat_row()], FLAT_HEADER[:-1])
+    with pytest.raises(ValueError, match="Customer Address"):
+        read_flat(spark, str(tmp_path / "in"))
+
+
+def test_folder_of_unlike_files(spark, tmp_path):
+    """Two column orders, line breaks in one file, names that need escaping."""
+    folder = tmp_path / "in put"
+    write_csv(folder / "a 1.csv", [flat_row(order="1"), flat_row(order="2")])
+    write_csv(folder / "b[x].csv", [flat_row(order="3", name="p\nq")], REORDERED)
+    write_csv(folder / "c%20.csv", [flat_row(order="4", name='r "s"')], REORDERED)
+    write_csv(folder / "d{e}.csv", [flat_row(order="5")])
+    rows = in_order(read_flat(spark, str(folder)), "Order ID", "Product Name", "Customer ID")
+    assert rows == [("1", "Lamp", "c1"), ("2", "Lamp", "c1"), ("3", "p\nq", "c1"),
+                    ("4", 'r "s"', "c1"), ("5", "Lamp", "c1")]
+
+
+def test_unlike_files_are_refused_when_not_looked_at(spark, tmp_path):
+    write_csv(tmp_path / "in" / "a.csv", [flat_row()])
+    write_csv(tmp_path / "in" / "b.csv", [flat_row()], REORDERED)
+    with pytest.raises(Exception, match="header"):
+        read_flat(spark, str(tmp_path / "in"), False).collect()
+
+
+def test_line_break_in_the_header(spark, tmp_path):
+    path = write_csv(tmp_path / "s.csv", [flat_row() | {"a\nb": "n"}], ["a\nb", *FLAT_HEADER])
+    assert in_order(read_flat(spark, path), "Order ID", "Category") == [("o1", "Light")]
+
+
+def test_header_only_and_list_of_files(spark, tmp_path):
+    empty = write_csv(tmp_path / "e.csv", [])
+    full = write_csv(tmp_path / "f.csv", [flat_row()])
+    assert read_flat(spark, empty).count() == 0
+    assert read_flat(spark, [empty, full]).count() == 1
+
+
+def test_short_rows_end_in_nulls_and_blank_lines_are_skipped(spark, tmp_path):
+    path = write_csv(tmp_path / "s.csv", [flat_row()])
+    with open(path, "a") as out:
+        out.write("\no2,p2\n\n")
+    assert in_order(read_flat(spark, path), "Order ID", "Product ID", "Region") == [
+        ("o1", "p1", "North"), ("o2", "p2", None)]

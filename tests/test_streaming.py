@@ -1,0 +1,56 @@
+import pytest
+from conftest import flat_row, write_csv
+
+from salestide.sources.store import SalesStore
+from salestide.streaming.landing import refresh_from_landing
+
+
+@pytest.fixture
+def folders(tmp_path):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    return landing, str(tmp_path / "warehouse"), str(tmp_path / "checkpoint")
+
+
+def run(spark, landing, home, checkpoint, **options):
+    query = refresh_from_landing(spark, str(landing), home, checkpoint, **options)
+    assert query.awaitTermination(120)
+
+
+def orders_of(spark, home):
+    return {(r.OrderID, r.QuantitySold) for r in SalesStore(spark, home).orders().collect()}
+
+
+def test_each_run_adds_the_new_files(spark, folders):
+    landing, home, checkpoint = folders
+    write_csv(landing / "1.csv", [flat_row(order="a", quantity="1", name="two\nlines")])
+    run(spark, landing, home, checkpoint)
+    assert orders_of(spark, home) == {("a", 1)}
+    assert SalesStore(spark, home).products().first().ProductName == "two\nlines"
+
+    write_csv(landing / "0.csv", [flat_row(order="a", quantity="9"), flat_row(order="b", quantity="2")])
+    run(spark, landing, home, checkpoint)
+    assert orders_of(spark, home) == {("a", 1), ("b", 2)}
+
+    run(spark, landing, home, checkpoint)
+    assert SalesStore(spark, home).loads().count() == 2
+
+
+def test_replayed_files_add_nothing(spark, folders, tmp_path):
+    landing, home, checkpoint = folders
+    write_csv(landing / "1.csv", [flat_row(order="a"), flat_row(order="b")])
+    run(spark, landing, home, checkpoint)
+    run(spark, landing, home, str(tmp_path / "lost checkpoint"))
+    assert orders_of(spark, home) == {("a", 2), ("b", 2)}
+    last = SalesStore(spark, home).loads().orderBy("version").collect()[-1]
+    assert last.counts["orders_inserted"] == 0 and last.counts["rows_read"] == 2
+
+
+def test_one_file_per_batch(spark, folders):
+    landing, home, checkpoint = folders
+    for i in range(3):
+        write_csv(landing / f"{i}.csv", [flat_row(order="same", quantity=str(i)),
+                                         flat_row(order=f"o{i}", quantity="5")])
+    run(spark, landing, home, checkpoint, max_files_per_batch=1)
+    assert SalesStore(spark, home).loads().count() == 3
+    assert {k for k, _ in orders_of(spark, home)} == {"same", "o0", "o1", "o2"}
