@@ -113,11 +113,11 @@ def flat_export(spark: SparkSession, folder: str) -> DataFrame:
         "Region": F.when(F.col("n_name") == "NATION_3", "NA").otherwise(F.col("r_name")),
         "Date of Sale": F.when(size == 50, F.date_format(date, "dd/MM/yyyy"))
         .when(size == 49, F.date_format(date, "yyyyMMdd"))
-        .when(size == 48, F.date_format(date, "yyyy-'02-30'"))
-        .when(size == 47, F.date_format(date, "yyyy-MM-dd '10:00:00'"))
+        .when(size == 48, F.concat(F.year(date).cast("string"), F.lit("-02-30")))
+        .when(size == 47, F.concat(date.cast("string"), F.lit(" 10:00:00")))
         .when(size == 46, "")
         .when(F.col("o_orderstatus") == "P", F.date_format(date, "yyyy-M-d"))
-        .otherwise(F.date_format(date, "yyyy-MM-dd")),
+        .otherwise(date.cast("string")),
         "Quantity Sold": F.when(quantity == 17, F.concat(whole, F.lit(".5")))
         .when(F.col("l_returnflag") == "A", F.concat(whole, F.lit(".0")))
         .otherwise(whole),

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from conftest import flat_row, write_csv
 from pyspark.sql import functions as F
@@ -104,3 +106,40 @@ def test_short_rows_end_in_nulls_and_blank_lines_are_skipped(spark, tmp_path):
         out.write("\no2,p2\n\n")
     assert in_order(read_flat(spark, path), "Order ID", "Product ID", "Region") == [
         ("o1", "p1", "North"), ("o2", "p2", None)]
+
+
+def nasty(rng):
+    """A field with quotes, commas and line breaks, at times spanning many lines."""
+    if rng.random() < 0.5:
+        return "plain"
+    return "".join(rng.choice(['"', ",", "\n", "\r\n", "a", "b ", "\n\n"]) for _ in range(rng.randrange(1, 40)))
+
+
+@pytest.mark.parametrize("split_bytes", [90, 700, 10_000_000])
+def test_records_across_splits(spark, tmp_path, split_bytes):
+    rng = random.Random(split_bytes)
+    names = [nasty(rng) for _ in range(250)]
+    folder = tmp_path / "in"
+    half = [flat_row(order=f"{i:03}", name=n, address=nasty(rng)) for i, n in enumerate(names)]
+    write_csv(folder / "a.csv", half[:150])
+    write_csv(folder / "b.csv", half[150:])
+    expected = [
+        (r["Order ID"], r["Product Name"], r["Customer Address"], r["Region"]) for r in half
+    ]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes))
+    try:
+        frame = read_flat(spark, str(folder))
+        blocks = frame.select(f"{POSITION}.file", f"{POSITION}.block").distinct().count()
+        assert blocks > 20 if split_bytes < 1000 else blocks == 2
+        got = in_order(frame, "Order ID", "Product Name", "Customer Address", "Region")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == expected
+
+
+def test_carriage_returns_and_blank_lines_between_records(spark, tmp_path):
+    path = write_csv(tmp_path / "s.csv", [flat_row(order="1", name="x\ny"), flat_row(order="2")])
+    text = open(path, newline="").read().replace("\n", "\r\n") + "\r\n  \r\n"
+    open(path, "w", newline="").write(text)
+    rows = in_order(read_flat(spark, path), "Order ID", "Product Name", "Customer Address")
+    assert rows == [("1", "x\r\ny", "1 Low Rd, Dale"), ("2", "Lamp", "1 Low Rd, Dale")]
