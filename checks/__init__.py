@@ -1,0 +1 @@
+"""Registered queries, their SQL, and the comparison of both."""

@@ -1,0 +1 @@
+"""Sales revenue reports and loads on Spark DataFrames."""

@@ -1,0 +1 @@
+"""Building blocks: grouping, ranking, first-wins, flat rows to star rows."""

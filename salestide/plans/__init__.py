@@ -1,0 +1 @@
+"""What callers run: reports, summary, load report, refresh."""

@@ -69,8 +69,6 @@ FLAT_HEADER = (
     "Customer Address",
 )
 
-FLAT = T.StructType([_text(name) for name in FLAT_HEADER])
-
 CUSTOMERS = T.StructType(
     [_key("CustomerID"), _text("CustomerName"), _text("CustomerEmail"), _text("CustomerAddress")]
 )

@@ -16,6 +16,7 @@ from salestide.plans.reports import (
     total_revenue,
 )
 from salestide.plans.summary import revenue_summary
+from salestide.sources import trade_tables
 from salestide.sources.store import SalesStore
 
 FEBRUARY = ("2024-02-05", "2024-03-10")
@@ -150,3 +151,64 @@ def test_large_loads_join_on_the_partitioning_they_have(spark, store):
     tree = plan.split("\n\n")[0]
     assert "SortMergeJoin LeftAnti" in tree
     assert len(re.findall(r"[- ]Exchange \(", tree)) == 2
+
+
+@pytest.fixture(scope="module")
+def skewed_tables(spark, tmp_path_factory):
+    """Order-line tables in which one part has a third of the lines."""
+    folder = tmp_path_factory.mktemp("skewed")
+    day = "TIMESTAMP_NTZ '1997-05-05 00:00:00'"
+    rows = {
+        "lineitem": (60000, "id % 5000, IF(id % 3 = 0, 0, id % 40), 1L, CAST(id % 7 AS int), "
+                            "CAST(1 + pmod(xxhash64(id), 50) AS double), 1.0D, "
+                            f"pmod(xxhash64(-id), 1000) / 10000D, 0.0D, 'A', 'F', {day}"),
+        "orders": (5000, f"id, id % 100, 'F', 1.0D, {day}, 'LOW'"),
+        "customer": (100, "id, CONCAT('c', id), CAST(id % 5 AS int), 1.0D, 's'"),
+        "nation": (5, "CAST(id AS int), CONCAT('n', id), CAST(id % 2 AS int)"),
+        "region": (2, "CAST(id AS int), CONCAT('r', id)"),
+        "part": (40, "id, CONCAT('p', id), 'b', 'k', 5, 10.0D"),
+    }
+    for name, (count, values) in rows.items():
+        columns = [c.split()[0] for c in trade_tables.SCHEMAS[name].split(", ")]
+        frame = spark.range(count, numPartitions=4).selectExpr(*split_values(values)).toDF(*columns)
+        frame.write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def split_values(values: str) -> list[str]:
+    """Split at commas outside parentheses."""
+    return re.split(r", (?![^(]*\))", values)
+
+
+def test_hot_join_keys_are_split_at_run_time(spark, skewed_tables):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k",
+        # on so little data merging would leave one task, and nothing to split by
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+
+    def report():
+        return revenue_by_product(
+            trade_tables.orders(spark, skewed_tables),
+            trade_tables.products(spark, skewed_tables),
+            "1997-01-01",
+            "1997-12-31",
+        )
+
+    expected = report().collect()
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        split = report()
+        rows = split.collect()
+        plan = split._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin(skew=true) [l_partkey" in plan
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    assert rows == expected
+    assert rows[0].ProductID == "0" and rows[0].total_orders > 20000
+    assert sum(r.total_orders for r in rows) == 60000

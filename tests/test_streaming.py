@@ -1,6 +1,7 @@
 import pytest
 from conftest import flat_row, write_csv
 
+from salestide.schemas import FLAT_HEADER
 from salestide.sources.store import SalesStore
 from salestide.streaming.landing import refresh_from_landing
 
@@ -54,3 +55,21 @@ def test_one_file_per_batch(spark, folders):
     run(spark, landing, home, checkpoint, max_files_per_batch=1)
     assert SalesStore(spark, home).loads().count() == 3
     assert {k for k, _ in orders_of(spark, home)} == {"same", "o0", "o1", "o2"}
+
+
+def test_other_columns_can_be_declared(spark, folders):
+    landing, home, checkpoint = folders
+    columns = ["Note", *FLAT_HEADER[::-1]]
+    write_csv(landing / "1.csv", [flat_row(order="a") | {"Note": "n"}], columns)
+    run(spark, landing, home, checkpoint, columns=columns)
+    assert orders_of(spark, home) == {("a", 2)}
+    with pytest.raises(ValueError, match="lacks"):
+        run(spark, landing, home, checkpoint, columns=["Order ID"])
+
+
+def test_undeclared_columns_stop_the_stream(spark, folders):
+    landing, home, checkpoint = folders
+    write_csv(landing / "1.csv", [flat_row(order="a")], FLAT_HEADER[::-1])
+    with pytest.raises(Exception, match="header"):
+        run(spark, landing, home, checkpoint)
+    assert SalesStore(spark, home).loads().count() == 0
