@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salestide.llm import bpe, exact_dedup, mixing, quality, simhash, token_files
-from salestide.llm.tables import documents, ship_code
+from salestide.llm.tables import WORD, documents, ship_code
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -79,3 +79,71 @@ QUERIES: dict[str, Query] = {
         op10_token_files,
     )
 }
+
+_IN_DUCKDB = {
+    "word": WORD,
+    "symbols": quality.SYMBOLS,
+    "mark": quality.NAVIGATION_MARK,
+    "boilerplate": quality.BOILERPLATE,
+    "shouted": quality.SHOUTED_WORD,
+    "end": quality.END_MARK,
+}
+
+
+def _quality_sql() -> str:
+    p = {k: "'" + v.replace("'", "''") + "'" for k, v in _IN_DUCKDB.items()}
+    like = "len(list_filter(ws, w -> regexp_matches(w, {})))".format
+    return f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), {p["word"]}) AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), l -> regexp_matches(l, {p["word"]})) AS ls
+  FROM documents
+), places AS (
+  SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS p FROM d
+), windows AS (
+  SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, ws[p], ws[p + 1], ws[p + 2]) AS times FROM places
+), again AS (
+  SELECT doc_id, p FROM windows WHERE times > 1
+), repeated AS (
+  SELECT doc_id, count(*) AS n
+  FROM (SELECT DISTINCT doc_id, p + k AS word FROM again, (VALUES (0), (1), (2)) x(k)) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, l, regexp_extract_all(l, {p["word"]}) AS ws FROM (SELECT doc_id, unnest(ls) AS l FROM d)
+), passed AS (
+  SELECT doc_id, count(*) AS n, sum(list_sum(list_transform(ws, w -> length(w)))) AS chars
+  FROM lines
+  WHERE NOT (
+    ({like(p["mark"])} >= 2 AND {like(p["mark"])} * 4 >= len(ws))
+    OR (len(ws) <= {quality.BOILERPLATE_MAX_WORDS} AND regexp_matches(l, {p["boilerplate"]}))
+    OR {like(p["shouted"])} * 2 >= len(ws)
+    OR len(regexp_extract_all(l, {p["symbols"]})) >= greatest(len(ws), {quality.SHORT_LINE_WORDS})
+    OR (len(ws) < {quality.SHORT_LINE_WORDS} AND NOT regexp_matches(l, {p["end"]})))
+  GROUP BY doc_id
+), counted AS (
+  SELECT d.doc_id, len(ws)::BIGINT AS n_words,
+         coalesce(list_sum(list_transform(ws, w -> length(w))), 0)::BIGINT AS word_chars,
+         len(regexp_extract_all(t, {p["symbols"]}))::BIGINT AS n_symbols,
+         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+         coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+         len(ls)::BIGINT AS n_lines, (len(ls) - coalesce(p.n, 0))::BIGINT AS n_lines_removed,
+         coalesce(p.chars, 0) AS chars
+  FROM d LEFT JOIN repeated r USING (doc_id) LEFT JOIN passed p USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEATED_PERCENT} * n_words) AS base_failed,
+       NOT (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEATED_PERCENT} * n_words)
+         AND 1 - chars / word_chars <= {quality.MAX_LOST} AS kept,
+       n_lines, n_lines_removed
+FROM counted
+"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": _quality_sql(),
+    "op9_exact_dedup": """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+""",
+}
