@@ -121,8 +121,11 @@ def duplicate_groups(
     ignored. An empty table gives no rows.
     """
     named = cut(with_identity(docs, key, text, block_chars))
-    groups = named.groupBy("n_blocks", "name").agg(
-        F.max(key).alias("keep_id"), F.sum("n_rows").alias("group_size")
+    # Cut, so that the join deals out both sides itself and can split a large group.
+    groups = cut(
+        named.groupBy("n_blocks", "name").agg(
+            F.max(key).alias("keep_id"), F.sum("n_rows").alias("group_size")
+        )
     )
     return named.join(groups, ["n_blocks", "name"]).select(
         key,

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salestide.llm import bpe, exact_dedup, mixing, quality, simhash, token_files
+from salestide.llm import bpe, exact_dedup, language, mixing, quality, secret_scan, simhash, token_files
 from salestide.llm.tables import WORD, documents, ship_code
 
 VOCABULARY = "word_bpe_49k.json"
@@ -48,10 +48,26 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(documents(spark, sf_dir))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(documents(spark, sf_dir))
 
 
+def held_out() -> Column:
+    """Every fifth document by the checksum of its key; nothing is learned from these."""
+    return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language.fit(docs, ~F.coalesce(held_out(), F.lit(True)))
+    found = language.predicted(docs, model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).drop("source")
 
@@ -72,7 +88,9 @@ QUERIES: dict[str, Query] = {
     f.__name__: _with_code(f)
     for f in (
         op1_quality_rules,
+        op3_secrets,
         op4_simhash,
+        op5_language,
         op6_mixing,
         op8_bpe,
         op9_exact_dedup,
@@ -92,12 +110,12 @@ _IN_DUCKDB = {
 
 def _quality_sql() -> str:
     p = {k: "'" + v.replace("'", "''") + "'" for k, v in _IN_DUCKDB.items()}
-    like = "len(list_filter(ws, w -> regexp_matches(w, {})))".format
+    like = "len(list_filter(ws, lambda w: regexp_matches(w, {})))".format
     return f"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t,
          regexp_extract_all(coalesce(text, ''), {p["word"]}) AS ws,
-         list_filter(string_split(coalesce(text, ''), chr(10)), l -> regexp_matches(l, {p["word"]})) AS ls
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, {p["word"]})) AS ls
   FROM documents
 ), places AS (
   SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS p FROM d
@@ -111,7 +129,7 @@ WITH d AS (
 ), lines AS (
   SELECT doc_id, l, regexp_extract_all(l, {p["word"]}) AS ws FROM (SELECT doc_id, unnest(ls) AS l FROM d)
 ), passed AS (
-  SELECT doc_id, count(*) AS n, sum(list_sum(list_transform(ws, w -> length(w)))) AS chars
+  SELECT doc_id, count(*) AS n, sum(list_sum(list_transform(ws, lambda w: length(w)))) AS chars
   FROM lines
   WHERE NOT (
     ({like(p["mark"])} >= 2 AND {like(p["mark"])} * 4 >= len(ws))
@@ -122,7 +140,7 @@ WITH d AS (
   GROUP BY doc_id
 ), counted AS (
   SELECT d.doc_id, len(ws)::BIGINT AS n_words,
-         coalesce(list_sum(list_transform(ws, w -> length(w))), 0)::BIGINT AS word_chars,
+         coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0)::BIGINT AS word_chars,
          len(regexp_extract_all(t, {p["symbols"]}))::BIGINT AS n_symbols,
          (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
          coalesce(r.n, 0)::BIGINT AS n_repeat_words,

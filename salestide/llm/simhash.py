@@ -192,9 +192,12 @@ def near_duplicate_groups(
         "fp", "_least", F.coalesce("root", "fp").alias("root")
     )
     labels = cut(labels.join(degree, "fp", "left"))
-    least = labels.groupBy("root").agg(F.min("_least").alias("component_id"))
-    labels = labels.join(least, "root").select(
-        "fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")
+    # Cut, so that the joins deal out both sides themselves and can split a hot key.
+    least = cut(labels.groupBy("root").agg(F.min("_least").alias("component_id")))
+    labels = cut(
+        labels.join(least, "root").select(
+            "fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")
+        )
     )
     return rows.join(labels, "fp").select(
         key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links"
