@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections import ChainMap
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -25,10 +24,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salestide.llm.word_pieces import ADDED, pieces, words
+from salestide.llm.word_pieces import ADDED, forget, spelled, words
 
-KNOWN_PIECES = 500_000
-KNOWN_WORDS = 300_000
+KNOWN_PIECES = 600_000
+KNOWN_WORDS = 400_000
 KNOWN_PAIRS = 1_000_000
 TEXTS_AT_ONCE = 500
 CHARS_AT_ONCE = 4_000_000
@@ -133,7 +132,7 @@ class Trie:
         out: dict[str, list[int]] = {}
         letters = self.as_letters
         spelled = sorted(
-            (w if w.isascii() else "".join(map(letters.__getitem__, w.encode())), w) for w in distinct
+            (w if w.isascii() and w.isprintable() else "".join(map(letters.__getitem__, w.encode())), w) for w in distinct
         )
         states: list[tuple[int, int, int]] = [(-1, 0, 0)]  # token, its length, reach
         before = ""
@@ -167,27 +166,16 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text. Tables hold ids as bytes, so a text is one join."""
-        split = [pieces(t) for t in texts]
-        known, table = self._pieces, self._pieces
-        new = {p for ps in split for p in ps if p not in known}
-        if new:
-            fresh = self._spelled(new)
-            if len(known) + len(fresh) <= KNOWN_PIECES:
-                known.update(fresh)
-            else:
-                table = {p: known[p] for ps in split for p in ps if p in known} | fresh
-        return [np.frombuffer(b"".join([table[p] for p in ps]), np.int32) for ps in split]
+        return [np.frombuffer(ids, np.int32) for ids in spelled(texts, self._pieces, self._spelled, KNOWN_PIECES)]
 
     def _spelled(self, new: set[str]) -> dict[str, bytes]:
         inside = {p: words(p) for p in new}
-        known, table = self._words, self._words
+        known = self._words
         unknown = {w for ws in inside.values() for w in ws if w not in known}
-        fresh = {w: np.array(i, np.int32).tobytes() for w, i in self.trie.encode(unknown).items()}
-        if len(known) + len(fresh) <= KNOWN_WORDS:
-            known.update(fresh)
-        else:
-            table = ChainMap(fresh, known)
-        return {p: b"".join([table[w] for w in ws]) for p, ws in inside.items()}
+        known.update((w, np.array(i, np.int32).tobytes()) for w, i in self.trie.encode(unknown).items())
+        out = {p: b"".join([known[w] for w in ws]) for p, ws in inside.items()}
+        forget(known, unknown, KNOWN_WORDS)
+        return out
 
     def decode(self, ids: Iterable[int]) -> str:
         """The vocabulary file names no decoder: tokens joined by single spaces."""

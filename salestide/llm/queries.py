@@ -8,8 +8,19 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salestide.llm import bpe, exact_dedup, language, mixing, quality, secret_scan, simhash, token_files
-from salestide.llm.tables import WORD, documents, ship_code
+from salestide.llm import (
+    bpe,
+    exact_dedup,
+    language,
+    license_scan,
+    mixing,
+    prefix_free,
+    quality,
+    secret_scan,
+    simhash,
+    token_files,
+)
+from salestide.llm.tables import WORD, documents, ship_code, word_count
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -48,6 +59,34 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: A document with a licence line and fewer words than this counts as a licence file.
+LICENCE_FILE_WORDS = 120
+
+
+def licence_paths(docs: DataFrame) -> DataFrame:
+    """``docs`` with a ``path``: by source, then thousands and hundreds of the doc_id.
+    The table has no paths of its own. Short documents that state a licence are named
+    as licence files, so that they speak for their directory."""
+    short = (word_count(F.col("text")) < LICENCE_FILE_WORDS) & F.col("text").rlike(
+        license_scan.MENTION
+    )
+    folder = F.concat_ws(
+        "/",
+        F.coalesce("source", F.lit("unknown")),
+        F.floor(F.col("doc_id") / 1000).cast("string"),
+        F.floor(F.col("doc_id") / 100).cast("string"),
+    )
+    name = F.concat(F.when(short, F.lit("LICENSE.")).otherwise(F.lit("text-")), F.col("doc_id").cast("string"))
+    # Every other licence file stands one directory higher, so that there is a depth to it.
+    higher = F.regexp_replace(folder, "/[^/]*$", "")
+    placed = F.when(short & (F.col("doc_id") % 2 == 0), higher).otherwise(folder)
+    return docs.withColumn("path", F.concat_ws("/", placed, name))
+
+
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licensed(licence_paths(documents(spark, sf_dir)))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(documents(spark, sf_dir))
 
@@ -72,6 +111,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).drop("source")
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_free.without_repeats(documents(spark, sf_dir))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), vocabulary())
 
@@ -88,10 +131,12 @@ QUERIES: dict[str, Query] = {
     f.__name__: _with_code(f)
     for f in (
         op1_quality_rules,
+        op2_licenses,
         op3_secrets,
         op4_simhash,
         op5_language,
         op6_mixing,
+        op7_repeats,
         op8_bpe,
         op9_exact_dedup,
         op10_token_files,

@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections import ChainMap
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
@@ -37,12 +36,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from salestide.llm.tables import cut, new_path
-from salestide.llm.word_pieces import ADDED, pieces, words
+from salestide.llm.word_pieces import ADDED, forget, spelled, words
 
 KEYS_IN_PART = 50_000
-KNOWN_PIECES = 500_000
-KNOWN_WORDS = 300_000
-TEXTS_AT_ONCE = 500
+KNOWN_PIECES = 800_000
+KNOWN_WORDS = 400_000
+TEXTS_AT_ONCE = 2000
 LEVELS = 64
 GAMMA = 2.0
 
@@ -51,9 +50,17 @@ class LibraryEncoder:
     """Ids by the tokenizers library, asked once for each word it hasn't met."""
 
     def __init__(self, path: str, dtype: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # It gets words that are normalised and split already, one on each line.
+        self.tokenizer.normalizer = None
+        self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
+            [
+                pre_tokenizers.WhitespaceSplit(),
+                pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
+            ]
+        )
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.dtype = np.dtype(dtype)
@@ -64,34 +71,27 @@ class LibraryEncoder:
         self.words = {w: np.array([i], self.dtype).tobytes() for w, i in ADDED.items()}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [pieces(t) for t in texts]
-        known, table = self.pieces, self.pieces
-        new = {p for ps in split for p in ps if p not in known}
-        if new:
-            fresh = self._pieces(new)
-            if len(known) + len(fresh) <= KNOWN_PIECES:
-                known.update(fresh)
-            else:
-                table = {p: known[p] for ps in split for p in ps if p in known} | fresh
-        return [b"".join([table[p] for p in ps]) for ps in split]
+        return spelled(texts, self.pieces, self._pieces, KNOWN_PIECES)
 
     def _pieces(self, new: set[str]) -> dict[str, bytes]:
         inside = {p: words(p) for p in new}
-        known, table = self.words, self.words
-        unknown = list({w for ws in inside.values() for w in ws if w not in known})
-        fresh = self._words(unknown)
-        if len(known) + len(fresh) <= KNOWN_WORDS:
-            known.update(fresh)
-        else:
-            table = ChainMap(fresh, known)
-        return {p: b"".join([table[w] for w in ws]) for p, ws in inside.items()}
+        known = self.words
+        unknown = {w for ws in inside.values() for w in ws if w not in known}
+        known.update(self._words(list(unknown)))
+        out = {
+            p: known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])
+            for p, ws in inside.items()
+        }
+        forget(known, unknown, KNOWN_WORDS)
+        return out
 
     def _words(self, unknown: list[str]) -> dict[str, bytes]:
         """Words without white space, encoded as the lines of one text."""
         if not unknown:
             return {}
+        lines = ["\n".join(unknown)]
         ids = np.array(
-            self.tokenizer.encode("\n".join(unknown), add_special_tokens=False).ids, np.int64
+            self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)[0].ids, np.int64
         )
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(unknown):

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import regex
 
@@ -29,15 +30,50 @@ def pieces(text: str) -> list[str]:
 
 def normalised(piece: str) -> str:
     """NFC, then lower case character by character (no special final sigma)."""
+    if piece.isascii():
+        return piece.lower()
     piece = unicodedata.normalize("NFC", piece)
     return piece.lower() if "Σ" not in piece else "".join(c.lower() for c in piece)
 
 
 def words(piece: str) -> list[str]:
     """Words of a piece without white space; added tokens come as themselves."""
+    plain = normalised(piece)
+    # Most pieces are letters only, or letters and one mark.
+    if plain.isalpha():
+        return [plain]
+    if plain[-1] in ".,;:!?" and plain[:-1].isalpha():
+        return [plain[:-1], plain[-1]]
     if "<|" not in piece:
-        return WORDS.findall(normalised(piece))
+        return WORDS.findall(plain)
     found: list[str] = []
     for part in ADDED_SPLIT.split(piece):
         found.extend([part] if part in ADDED else WORDS.findall(normalised(part)))
     return found
+
+
+def spelled(
+    texts: list[str],
+    known: dict[str, bytes],
+    spell: Callable[[set[str]], dict[str, bytes]],
+    most: int,
+) -> list[bytes]:
+    """Each text as the bytes of its pieces, one after the other. ``known`` keeps
+    pieces from call to call, up to ``most``; ``spell`` is asked for the others."""
+    split = [pieces(t) for t in texts]
+    found = [list(map(known.get, ps)) for ps in split]
+    gaps = [None in f for f in found]
+    new = {p for ps, f, gap in zip(split, found, gaps) if gap for p, b in zip(ps, f) if b is None}
+    fresh = spell(new)
+    if len(known) + len(fresh) <= most:
+        known.update(fresh)
+    return [
+        b"".join(f if not gap else [b if b is not None else fresh[p] for p, b in zip(ps, f)])
+        for ps, f, gap in zip(split, found, gaps)
+    ]
+
+
+def forget(known: dict, new: set[str], most: int) -> None:
+    """Takes newcomers out of a full table again; what came first, and so is common, stays."""
+    for key in new if len(known) > most else ():
+        del known[key]
