@@ -24,13 +24,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salestide.llm.word_pieces import ADDED, forget, spelled, words
+from salestide.llm.word_pieces import ADDED, forget, spelled, words_of_all
 
 KNOWN_PIECES = 600_000
 KNOWN_WORDS = 400_000
 KNOWN_PAIRS = 1_000_000
-TEXTS_AT_ONCE = 500
-CHARS_AT_ONCE = 4_000_000
+TEXTS_AT_ONCE = 2000
+CHARS_AT_ONCE = 8_000_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -166,10 +166,10 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text. Tables hold ids as bytes, so a text is one join."""
-        return [np.frombuffer(ids, np.int32) for ids in spelled(texts, self._pieces, self._spelled, KNOWN_PIECES)]
+        return spelled(texts, self._pieces, self._spelled, KNOWN_PIECES, "<i4")
 
     def _spelled(self, new: set[str]) -> dict[str, bytes]:
-        inside = {p: words(p) for p in new}
+        inside = words_of_all(new)
         known = self._words
         unknown = {w for ws in inside.values() for w in ws if w not in known}
         known.update((w, np.array(i, np.int32).tobytes()) for w, i in self.trie.encode(unknown).items())

@@ -297,10 +297,10 @@ def _co_located(texts: DataFrame) -> DataFrame:
     spark = texts.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"texts_{uuid.uuid4().hex}"
-    dealt = texts.repartition(buckets, "_id").dropDuplicates(["_id"])
     path = new_path(spark, "texts")
     (
-        dealt.write.bucketBy(buckets, "_id")
+        texts.dropDuplicates(["_id"])
+        .write.bucketBy(buckets, "_id")
         .option("path", path)
         .option("compression", "zstd")
         .format("parquet")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from salestide.llm.tables import cut, new_path
-from salestide.llm.word_pieces import ADDED, forget, spelled, words
+from salestide.llm.word_pieces import ADDED, forget, spelled, words_of_all
 
 KEYS_IN_PART = 50_000
 KNOWN_PIECES = 800_000
@@ -70,11 +70,11 @@ class LibraryEncoder:
         self.pieces: dict[str, bytes] = {}
         self.words = {w: np.array([i], self.dtype).tobytes() for w, i in ADDED.items()}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return spelled(texts, self.pieces, self._pieces, KNOWN_PIECES)
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return spelled(texts, self.pieces, self._pieces, KNOWN_PIECES, self.dtype)
 
     def _pieces(self, new: set[str]) -> dict[str, bytes]:
-        inside = {p: words(p) for p in new}
+        inside = words_of_all(new)
         known = self.words
         unknown = {w for ws in inside.values() for w in ws if w not in known}
         known.update(self._words(list(unknown)))
@@ -200,7 +200,6 @@ def write(
     spark = docs.sparkSession
     folder = folder or new_path(spark, "token-files")
     end = np.array([end_id], dtype).tobytes()
-    width = np.dtype(dtype).itemsize
     smallest = F.lit(-(1 << 63))
     rows = docs.select(
         F.coalesce(F.col(key).cast("long"), smallest).alias("key"),
@@ -220,10 +219,9 @@ def write(
             lengths, occurrences = [], []
             texts = iter(batch["text"])
             while portion := list(islice(texts, TEXTS_AT_ONCE)):
-                for raw in _encoder(path, dtype).encode(portion):
-                    opened.write(raw)
-                    opened.write(end)
-                    lengths.append(len(raw) // width + 1)
+                for ids in _encoder(path, dtype).encode(portion):
+                    opened.write(ids.tobytes() + end)
+                    lengths.append(len(ids) + 1)
             for k in batch["key"].tolist():
                 occurrence = occurrence + 1 if k == before else 0
                 before = k

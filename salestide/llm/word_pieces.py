@@ -10,24 +10,17 @@ import re
 import unicodedata
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
-# The tokenizer's white space, word pattern and added tokens.
-SPACE = re.compile(r"[\t-\r \x85\xa0  -     　]+")
-NOT_SPACE_HERE = re.compile(r"[\x1c-\x1f]")
+# The tokenizer's word pattern and added tokens.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", regex.V0)
 ADDED = {"<|startoftext|>": 49406, "<|endoftext|>": 49407}
 ADDED_SPLIT = re.compile("(" + "|".join(map(re.escape, ADDED)) + ")")
 
 
-def pieces(text: str) -> list[str]:
-    """Runs between white space. str.split() also splits at four control characters
-    that the tokenizer takes for symbols."""
-    if NOT_SPACE_HERE.search(text):
-        return [p for p in SPACE.split(text) if p]
-    return text.split()
-
-
 def normalised(piece: str) -> str:
     """NFC, then lower case character by character (no special final sigma)."""
     if piece.isascii():
@@ -36,9 +29,12 @@ def normalised(piece: str) -> str:
     return piece.lower() if "Σ" not in piece else "".join(c.lower() for c in piece)
 
 
-def words(piece: str) -> list[str]:
-    """Words of a piece without white space; added tokens come as themselves."""
-    plain = normalised(piece)
+def words(piece: str, plain: str | None = None) -> list[str]:
+    """Words of a piece without white space; added tokens come as themselves.
+    ``plain``: the piece normalised, if that is known."""
+    plain = normalised(piece) if plain is None else plain
+    if not plain:
+        return []
     # Most pieces are letters only, or letters and one mark.
     if plain.isalpha():
         return [plain]
@@ -52,25 +48,45 @@ def words(piece: str) -> list[str]:
     return found
 
 
+def words_of_all(distinct: set[str]) -> dict[str, list[str]]:
+    """The words of each piece. The pieces are normalised as one text: nothing
+    combines across the line ends between them."""
+    order = list(distinct)
+    plain = normalised("\n".join(order)).split("\n")
+    return dict(zip(order, map(words, order, plain)))
+
+
 def spelled(
     texts: list[str],
     known: dict[str, bytes],
     spell: Callable[[set[str]], dict[str, bytes]],
     most: int,
-) -> list[bytes]:
-    """Each text as the bytes of its pieces, one after the other. ``known`` keeps
-    pieces from call to call, up to ``most``; ``spell`` is asked for the others."""
-    split = [pieces(t) for t in texts]
-    found = [list(map(known.get, ps)) for ps in split]
-    gaps = [None in f for f in found]
-    new = {p for ps, f, gap in zip(split, found, gaps) if gap for p, b in zip(ps, f) if b is None}
-    fresh = spell(new)
+    dtype: str,
+) -> list[np.ndarray]:
+    """The ids of each text. Texts are split at ASCII white space; the distinct pieces
+    are looked up, or spelled, and the texts are put together from them by number.
+
+    ``known`` keeps pieces as bytes from call to call, up to ``most``; ``spell`` is
+    asked for the others. Other white space stays inside pieces until words() ends it.
+    """
+    split = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+    coded = split.flatten().dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    number = coded.indices.to_numpy()
+    found = list(map(known.get, distinct))
+    fresh = spell({p for p, ids in zip(distinct, found) if ids is None})
+    found = [ids if ids is not None else fresh[p] for p, ids in zip(distinct, found)]
     if len(known) + len(fresh) <= most:
         known.update(fresh)
-    return [
-        b"".join(f if not gap else [b if b is not None else fresh[p] for p, b in zip(ps, f)])
-        for ps, f, gap in zip(split, found, gaps)
-    ]
+
+    ids = np.frombuffer(b"".join(found), dtype)
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) // np.dtype(dtype).itemsize
+    first = np.cumsum(sizes) - sizes
+    n = sizes[number]
+    stop = np.concatenate([[0], np.cumsum(n)])
+    flat = ids[np.repeat(first[number] - stop[:-1], n) + np.arange(stop[-1])]
+    border = stop[split.offsets.to_numpy()]
+    return [flat[a:b] for a, b in zip(border[:-1].tolist(), border[1:].tolist())]
 
 
 def forget(known: dict, new: set[str], most: int) -> None:
