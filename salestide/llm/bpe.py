@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 
 from salestide.llm.word_pieces import ADDED, forget, spelled, words_of_all
 
-KNOWN_PIECES = 600_000
-KNOWN_WORDS = 400_000
-KNOWN_PAIRS = 1_000_000
-TEXTS_AT_ONCE = 2000
-CHARS_AT_ONCE = 8_000_000
+KNOWN_PIECES = 300_000
+KNOWN_WORDS = 200_000
+KNOWN_PAIRS = 200_000
+TEXTS_AT_ONCE = 1000
+CHARS_AT_ONCE = 4_000_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -245,8 +245,9 @@ def round_trip(
         work = encoder(path)
         decimal = {i: str(i) for i in work.trie.token}
         for batch in batches:
-            n, ids_sha, text_sha, kept = [], [], [], []
+            at = 0
             for portion in _portions(batch["_text"]):
+                n, ids_sha, text_sha, kept = [], [], [], []
                 for array in work.encode(portion):
                     ids = array.tolist()
                     n.append(len(ids))
@@ -254,10 +255,11 @@ def round_trip(
                     shown = " ".join(map(decimal.__getitem__, ids))
                     ids_sha.append(hashlib.sha256(shown.encode()).hexdigest())
                     text_sha.append(hashlib.sha256(work.decode(ids).encode()).hexdigest())
-            out = {"n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": text_sha}
-            if keep_ids:
-                out["ids"] = pd.Series(kept, dtype=object)
-            yield pd.DataFrame({key: batch[key].to_numpy(), **out})
+                out = {"n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": text_sha}
+                if keep_ids:
+                    out["ids"] = pd.Series(kept, dtype=object)
+                yield pd.DataFrame({key: batch[key].iloc[at : at + len(n)].to_numpy(), **out})
+                at += len(n)
 
     kind = docs.schema[key].dataType.simpleString()
     columns = f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"

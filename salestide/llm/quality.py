@@ -134,51 +134,53 @@ def judged(docs: DataFrame, text: str = "text", max_lost: float = MAX_LOST) -> D
         return F.length(F.regexp_replace(value, space, F.lit("")))
 
     lines = F.filter(F.split(whole, "\n", -1), lambda x: x.rlike(WORD))
-    base = docs.select(
-        *[c for c in docs.columns if c != "quality"],
-        F.struct(
-            let(
-                words_of(whole),
-                lambda ws: F.struct(
-                    F.size(ws).cast("long").alias("n"), repeated_words(ws).alias("repeated")
-                ),
-            ).alias("words"),
-            in_words(whole).cast("long").alias("word_chars"),
-            _matches(whole, SYMBOLS).cast("long").alias("n_symbols"),
-            let(
-                lines,
-                lambda ls: F.struct(
-                    F.size(ls).alias("n"),
-                    F.size(F.array_distinct(ls)).alias("different"),
-                    F.filter(ls, line_passes).alias("good"),
-                ),
-            ).alias("lines"),
-        ).alias("quality"),
+    seen = F.struct(
+        let(
+            words_of(whole),
+            lambda ws: F.struct(
+                F.size(ws).cast("long").alias("n"), repeated_words(ws).alias("repeated")
+            ),
+        ).alias("words"),
+        in_words(whole).cast("long").alias("word_chars"),
+        _matches(whole, SYMBOLS).cast("long").alias("n_symbols"),
+        let(
+            lines,
+            lambda ls: F.struct(
+                F.size(ls).alias("n"),
+                F.size(F.array_distinct(ls)).alias("different"),
+                F.filter(ls, line_passes).alias("good"),
+            ),
+        ).alias("lines"),
     )
-    q = F.col("quality")
-    n_words, repeated = q["words"]["n"], q["words"]["repeated"]
-    clean = F.array_join(q["lines"]["good"], "\n")
-    base_failed = (n_words < MIN_WORDS) | (100 * repeated > MAX_REPEATED_PERCENT * n_words)
-    lost = F.when(q["word_chars"] > 0, 1 - in_words(clean) / q["word_chars"]).otherwise(F.lit(1.0))
-    return base.withColumn(
-        "quality",
-        F.struct(
+
+    def verdict(q: Column) -> Column:
+        n_words, repeated = q["words"]["n"], q["words"]["repeated"]
+        clean = F.array_join(q["lines"]["good"], "\n")
+        failed = (n_words < MIN_WORDS) | (100 * repeated > MAX_REPEATED_PERCENT * n_words)
+        lost = F.when(q["word_chars"] > 0, 1 - in_words(clean) / q["word_chars"]).otherwise(F.lit(1.0))
+        return F.struct(
             n_words.alias("n_words"),
             q["word_chars"].alias("word_chars"),
             q["n_symbols"].alias("n_symbols"),
             (q["lines"]["n"] - q["lines"]["different"]).cast("long").alias("n_dup_lines"),
             repeated.alias("n_repeat_words"),
-            base_failed.alias("base_failed"),
+            failed.alias("base_failed"),
             q["lines"]["n"].cast("long").alias("n_lines"),
             (q["lines"]["n"] - F.size(q["lines"]["good"])).cast("long").alias("n_lines_removed"),
             lost.alias("lost_share"),
             clean.alias("clean_text"),
-            (~base_failed & (lost <= max_lost)).alias("kept"),
-        ),
-    )
+            (~failed & (lost <= max_lost)).alias("kept"),
+        )
+
+    # One expression, so that the optimiser has nothing to compute twice.
+    others = [c for c in docs.columns if c != "quality"]
+    return docs.select(*others, let(seen, verdict).alias("quality"))
 
 
 def cleaned(docs: DataFrame, text: str = "text", max_lost: float = MAX_LOST) -> DataFrame:
     """The documents kept, their failing lines removed; other columns as they were."""
-    rows = judged(docs, text, max_lost).where(F.col("quality")["kept"])
-    return rows.withColumn(text, F.col("quality")["clean_text"]).select(*docs.columns)
+    # Exploding, not filtering: a filter would be pushed down and judge every text again.
+    kept = F.filter(F.array("quality"), lambda q: q["kept"])
+    judged_ = judged(docs, text, max_lost)
+    rows = judged_.select(*[c for c in docs.columns if c != "quality"], F.explode(kept).alias("_q"))
+    return rows.withColumn(text, F.col("_q")["clean_text"]).select(*docs.columns)
