@@ -109,7 +109,7 @@ def test_quality_lines(spark):
     body = "\n".join(" ".join(f"word{i}x{k}" for k in range(9)) + "." for i in range(12))
     bad = ["Home | About | Contact | More", "All rights reserved.", "BUY!! IT!! NOW!!", "$$$ ### *** &&&", "menu"]
     docs = spark.createDataFrame(
-        [(1, clean + body + "\n" + "\n".join(bad)), (2, body + "\n" + "| a | b | c | d " * 200)],
+        [(1, clean + body + "\n" + "\n".join(bad)), (2, body + "\n" + " ".join(f"| nav{i}" for i in range(400)))],
         "doc_id long, text string",
     )
     one, two = quality.judged(docs).orderBy("doc_id").select("quality.*").collect()
