@@ -284,6 +284,10 @@ GROUP BY CustomerID""",
     "parsed_rows": f"""WITH {EXPORT}
 SELECT CONCAT_WS('-', l_orderkey, l_linenumber, l_partkey, CAST(l_shipdate AS DATE)) AS place,
        CustomerName, CustomerEmail, CustomerAddress, ProductName, Category, {ORDER_COLUMNS}
+FROM typed""",
+    "csv_records": f"""WITH {EXPORT}
+SELECT CONCAT_WS('-', l_orderkey, l_linenumber, l_partkey, CAST(l_shipdate AS DATE)) AS place,
+       CustomerName, CustomerEmail, CustomerAddress, ProductName, Category, {ORDER_COLUMNS}
 FROM typed""",
     "accepted_orders": f"WITH {EXPORT}\nSELECT {ORDER_COLUMNS} FROM accepted",
     "ingest_customers": f"WITH {EXPORT}\nSELECT {CUSTOMER_COLUMNS} FROM {first_rows('typed', 'CustomerID')}",

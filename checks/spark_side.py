@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from salestide.functions import as_amount, in_range, revenue_expr
 from salestide.operators.star import Star, candidates, merged, normalise, orphan_references, type_rows
@@ -20,7 +21,9 @@ from salestide.plans.reports import (
     total_revenue,
 )
 from salestide.plans.summary import revenue_summary
+from salestide.schemas import FLAT_HEADER
 from salestide.sources import trade_tables
+from salestide.sources.spanning_csv import parsed_records, records_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -112,13 +115,13 @@ def revenue_summary_with_gaps(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def unlisted_references(spark: SparkSession, folder: str) -> DataFrame:
-    europeans = (
+    solvent = (
         trade_tables.table(spark, folder, "customer")
         .where("c_acctbal >= 0")
         .select(F.col("c_custkey").cast("string").alias("CustomerID"))
     )
     return orphan_references(
-        trade_tables.orders(spark, folder), gappy_products(spark, folder), europeans
+        trade_tables.orders(spark, folder), gappy_products(spark, folder), solvent
     )
 
 
@@ -152,7 +155,10 @@ def _ingested(table: str) -> Query:
 def parsed_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Every export row with its columns renamed, cleaned and typed, before any
     row is dropped; the position is spelled out to tell rows apart."""
-    typed = _typed(spark, folder)
+    return _placed(_typed(spark, folder))
+
+
+def _placed(typed: DataFrame) -> DataFrame:
     names = [c for c in typed.columns if c[0].isupper()]
     place = F.concat_ws(
         "-",
@@ -164,6 +170,51 @@ def parsed_rows(spark: SparkSession, folder: str) -> DataFrame:
     return plain(typed.select(place.alias("place"), *names))
 
 
+def csv_records(spark: SparkSession, folder: str) -> DataFrame:
+    """The export written out as CSV lines and put together from them again.
+
+    Each source order is a file of its own, split at every other line number. By fixed
+    rules on the source columns some fields are quoted, hold doubled quotes, commas and
+    line breaks, or are unquoted with a quote inside; those marks are taken off again,
+    so the rows must be those of ``parsed_rows``.
+    """
+    flat = trade_tables.flat_export(spark, folder)
+    line, size = F.col("_position.l_linenumber"), F.length("`Product Name`")
+
+    def written(name: str) -> Column:
+        value = F.col(f"`{name}`")
+        quoted = F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))
+        if name == "Product Name":
+            broken = F.concat(F.lit('"'), value, F.lit('~\n""~,\n\n"'))
+            return (
+                F.when(line % 4 == 0, broken)
+                .when((line % 4 == 1) & (size > 0), F.concat(value, F.lit('~"~')))
+                .otherwise(quoted)
+            )
+        return quoted if name in ("Customer Address", "Region") else value
+
+    record = F.concat_ws(",", *[F.coalesce(written(c), F.lit("")) for c in FLAT_HEADER])
+    where = F.struct(line.alias("l"), F.col("_position.l_partkey").alias("p"), F.col("_position.l_shipdate").alias("d"))
+    numbered = flat.select(
+        F.col("_position.l_orderkey").alias("file"), record.alias("text"), where.alias("where"), "_position"
+    )
+    order = Window.partitionBy("file").orderBy("where")
+    numbered = numbered.withColumn("nth", F.row_number().over(order))
+    lines = numbered.select(
+        "file", "nth", F.posexplode(F.split("text", "\n")).alias("part", "value")
+    ).withColumn("place", F.col("nth") * 10 + F.col("part"))
+    # Splits of three lines, so that records begin and end in different ones.
+    in_file = Window.partitionBy("file").orderBy("place")
+    lines = lines.withColumn("row", F.row_number().over(in_file).cast("bigint"))
+    lines = lines.withColumn("block", F.floor(F.col("row") / 3)).select("value", "file", "block", "row")
+    header = T.StructType([T.StructField(c, T.StringType()) for c in FLAT_HEADER])
+    read = parsed_records(records_of(lines), header, {"escape": '"', "multiLine": True})
+    bare = F.regexp_replace("`Product Name`", '~(\n"~,\n\n|"~)$', "")
+    read = read.withColumn("Product Name", bare)
+    places = numbered.select("file", F.col("nth").alias("record"), "_position")
+    return _placed(type_rows(read.join(places, ["file", "record"])))
+
+
 def accepted_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Orders that pass the key and date checks, repeats included."""
     orders = candidates(_typed(spark, folder)).orders
@@ -216,6 +267,7 @@ QUERIES: dict[str, Query] = {
     "revenue_summary_with_gaps": revenue_summary_with_gaps,
     "unlisted_references": unlisted_references,
     "parsed_rows": parsed_rows,
+    "csv_records": csv_records,
     "accepted_orders": accepted_orders,
     "ingest_customers": _ingested("customers"),
     "ingest_products": _ingested("products"),

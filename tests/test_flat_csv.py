@@ -1,3 +1,4 @@
+import csv
 import random
 
 import pytest
@@ -143,3 +144,72 @@ def test_carriage_returns_and_blank_lines_between_records(spark, tmp_path):
     open(path, "w", newline="").write(text)
     rows = in_order(read_flat(spark, path), "Order ID", "Product Name", "Customer Address")
     assert rows == [("1", "x\r\ny", "1 Low Rd, Dale"), ("2", "Lamp", "1 Low Rd, Dale")]
+
+
+MODES = [None, False, True]
+
+
+def write_lines(path, rows):
+    """Lines as given, so that quotes stand where a writer would not put them."""
+    path.write_text("\n".join([",".join(FLAT_HEADER), *rows]) + "\n")
+    return str(path)
+
+
+def raw_row(order, name):
+    return f"{order},p1,c1,{name},Light,North,2024-01-05,2,10.00,0.1,1.00,card,Ann,a@x.org,Low Rd"
+
+
+@pytest.mark.parametrize("multi_line", MODES)
+def test_quotes_inside_unquoted_fields(spark, tmp_path, multi_line):
+    names = ['24" Monitor', 'a "b" c', 'ends"', "plain", '27" Monitor', '6" x 9"']
+    path = write_lines(tmp_path / "s.csv", [raw_row(i, n) for i, n in enumerate(names)])
+    rows = in_order(read_flat(spark, path, multi_line), "Order ID", "Product Name")
+    assert rows == [(str(i), n) for i, n in enumerate(names)]
+
+
+@pytest.mark.parametrize("split_bytes", [90, 10_000_000])
+def test_stray_quotes_beside_line_breaks(spark, tmp_path, split_bytes):
+    rng = random.Random(7)
+    plain = ['24" Monitor', 'x"', 'a "b" c', "lamp", '1""2']
+    quoted = ['"two\nlines"', '"say ""hi"", yes"', '"\n"', '"a,""\n"",b\n\n,c"', '""']
+    names = [rng.choice(plain + quoted) for _ in range(200)]
+    path = write_lines(tmp_path / "s.csv", [raw_row(f"{i:03}", n) for i, n in enumerate(names)])
+    with open(path, newline="") as file:
+        expected = [(r["Order ID"], r["Product Name"] or None, r["Customer Address"])
+                    for r in csv.DictReader(file)]
+    assert len(expected) == 200
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes))
+    try:
+        both = [in_order(read_flat(spark, path, m), "Order ID", "Product Name", "Customer Address")
+                for m in (None, True)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert both == [expected, expected]
+
+
+@pytest.mark.parametrize("multi_line", MODES)
+def test_unclosed_quote_is_refused(spark, tmp_path, multi_line):
+    rows = [raw_row(1, "x"), raw_row(2, '"open'), raw_row(3, "y"), raw_row(4, "z")]
+    path = write_lines(tmp_path / "s.csv", rows)
+    with pytest.raises(ValueError, match="never closed"):
+        read_flat(spark, path, multi_line)
+
+
+@pytest.mark.parametrize("multi_line", MODES)
+def test_surplus_cells_are_refused(spark, tmp_path, multi_line):
+    rows = [raw_row(1, "x"), raw_row(2, "y") + ", Town", raw_row(3, "z")]
+    path = write_lines(tmp_path / "s.csv", rows)
+    with pytest.raises(Exception, match="more cells than the header"):
+        read_flat(spark, path, multi_line).collect()
+
+
+def test_surplus_cells_beside_line_breaks_are_refused(spark, tmp_path):
+    rows = [raw_row(1, '"x\ny"'), raw_row(2, "y") + ", Town"]
+    with pytest.raises(Exception, match="more cells than the header"):
+        read_flat(spark, write_lines(tmp_path / "s.csv", rows)).collect()
+
+
+def test_line_breaks_are_refused_where_none_are_expected(spark, tmp_path):
+    path = write_lines(tmp_path / "s.csv", [raw_row(1, '"x\ny"')])
+    with pytest.raises(ValueError, match="line break"):
+        read_flat(spark, path, False)
