@@ -225,10 +225,10 @@ def _window_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _digest_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """What is left of each text, given the runs of windows that repeat."""
+    """What is left of each text, by its digest, given the runs of windows that repeat."""
     for batch in batches:
         rows = []
-        for key, text, runs in zip(batch["_id"], batch["_text"], batch["_runs"]):
+        for text, runs in zip(batch["_text"], batch["_runs"]):
             data = (text or "").encode("utf-8", "surrogatepass")
             first = np.array([r["first"] for r in runs], np.int64)
             stop = np.array([r["last"] for r in runs], np.int64) + LENGTH
@@ -236,8 +236,9 @@ def _digest_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             gone = np.cumsum(change)[: len(data)] > 0
             left = np.frombuffer(data, np.uint8)[~gone].tobytes()
             starts = np.flatnonzero(np.diff(np.concatenate([[False], gone]).astype(np.int8)) == 1)
-            rows.append((key, int(gone.sum()), len(starts), hashlib.sha256(left).hexdigest()))
-        yield pd.DataFrame(rows, columns=["_id", "n_removed", "n_spans", "kept_sha256"])
+            whole = hashlib.sha256(data).hexdigest()
+            rows.append((whole, int(gone.sum()), len(starts), hashlib.sha256(left).hexdigest()))
+        yield pd.DataFrame(rows, columns=["_sha", "n_removed", "n_spans", "kept_sha256"])
 
 
 def repeated_runs(texts: DataFrame) -> DataFrame:
@@ -309,7 +310,30 @@ def _co_located(texts: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _named_texts(rows: DataFrame, digits: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (with ``_sha``) with ``_id`` added, and ``copies``: (``_sha``, ``copies``).
+
+    ``_id`` is one integer for each distinct text: the first digits of its digest, or,
+    for digests that begin alike, a negative number of their own.
+    """
+    prefix = F.conv(F.substring("_sha", 1, digits), 16, 10).cast("long")
+    copies = saved(rows.groupBy("_sha").agg(F.count("*").alias("copies")), "text-copies")
+    shared = copies.groupBy(prefix.alias("_id")).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    if shared.isEmpty():
+        return rows.withColumn("_id", prefix), copies
+    own = saved(
+        copies.withColumn("_id", prefix)
+        .join(shared, "_id", "left_semi")
+        .select("_sha", (-1 - F.monotonically_increasing_id()).alias("_own")),
+        "text-names",
+    )
+    named = rows.join(own, "_sha", "left").withColumn("_id", F.coalesce("_own", prefix))
+    return named.drop("_own"), copies
+
+
+def without_repeats(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", name_digits: int = 15
+) -> DataFrame:
     """``key``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256`` for each row:
     bytes covered by a 400-byte string that also starts anywhere else are removed.
 
@@ -321,19 +345,15 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     sha = F.sha2(whole, 256)
     # Equal texts repeat each other whole, so one of each stands for all.
     rows = docs.select(F.col(key).alias("_key"), whole.alias("_text"), sha.alias("_sha"))
-    # A name for each distinct text: 63 bits of its digest.
-    named = rows.withColumn("_id", F.conv(F.substring("_sha", 1, 15), 16, 10).cast("long"))
-    copies = saved(
-        named.groupBy("_sha", "_id").agg(F.count("*").alias("copies")), "text-copies"
-    )
+    named, copies = _named_texts(rows, name_digits)
     texts = _co_located(named.select("_id", "_text"))
     runs = repeated_runs(texts).groupBy("_id").agg(
         F.collect_list(F.struct("first", "last")).alias("_runs")
     )
     cleaned = texts.join(runs, "_id").mapInPandas(
-        _digest_rows, "_id long, n_removed long, n_spans long, kept_sha256 string"
+        _digest_rows, "_sha string, n_removed long, n_spans long, kept_sha256 string"
     )
-    answers = copies.join(cleaned, "_id", "left").select("_sha", "copies", "n_removed", "n_spans", "kept_sha256")
+    answers = copies.join(cleaned, "_sha", "left").select("_sha", "copies", "n_removed", "n_spans", "kept_sha256")
     out = named.select("_key", "_sha", F.octet_length("_text").cast("long").alias("n_bytes")).join(
         answers, "_sha"
     )

@@ -328,6 +328,14 @@ def test_repeated_passages(spark, awkward, source):
     assert Counter(tuple(r) for r in prefix_free.without_repeats(frame).collect()) == expected
 
 
+def test_texts_whose_names_begin_alike_stay_apart(spark):
+    frame = spark.createDataFrame(passages(), "doc_id long, text string")
+    assert len({hashlib.sha256(t.encode()).hexdigest()[:1] for _, t in passages()}) < len(passages())
+    expected = reference_removal([(k, t.encode()) for k, t in passages()])
+    found = prefix_free.without_repeats(frame, name_digits=1)
+    assert Counter(tuple(r) for r in found.collect()) == expected
+
+
 def test_repeats_of_long_texts(awkward):
     found = {r["doc_id"]: r for r in prefix_free.without_repeats(awkward).collect()}
     assert found[6]["n_removed"] == found[6]["n_bytes"] == found[8]["n_removed"]
