@@ -10,7 +10,7 @@ RANGE = "DateOfSale BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'"
 EMPTY = "DateOfSale BETWEEN DATE '2031-01-01' AND DATE '2031-12-31'"
 
 ROW = (
-    "(UnitPrice * CAST(QuantitySold AS DECIMAL(10,0)) * (1 - Discount) + ShippingCost)"
+    "(UnitPrice * QuantitySold * (1 - Discount) + ShippingCost)"
 )
 SUM = f"SUM(CAST({ROW} AS DECIMAL(38,6)))"
 
@@ -31,10 +31,10 @@ sales AS (
          CAST(l_partkey AS VARCHAR) AS ProductID,
          CAST(o_custkey AS VARCHAR) AS CustomerID,
          CAST(o_orderdate AS DATE) AS DateOfSale,
-         CAST(l_quantity AS BIGINT) AS QuantitySold,
-         CAST(p_retailprice AS DECIMAL(12,2)) AS UnitPrice,
-         CAST(l_discount AS DECIMAL(5,4)) AS Discount,
-         CAST(p_size AS DECIMAL(12,2)) AS ShippingCost,
+         CAST(l_quantity AS DECIMAL(12,3)) AS QuantitySold,
+         CAST(p_retailprice AS DECIMAL(14,4)) AS UnitPrice,
+         CAST(l_discount AS DECIMAL(8,6)) AS Discount,
+         CAST(p_size AS DECIMAL(14,4)) AS ShippingCost,
          r_name AS Region
   FROM lines
 )"""
@@ -110,11 +110,10 @@ typed AS (
   SELECT *,
          CASE WHEN REGEXP_FULL_MATCH(DateText, '[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}')
               THEN TRY_CAST(DateText AS DATE) END AS DateOfSale,
-         CASE WHEN TRY_CAST(QuantityText AS DECIMAL(38,18)) = TRY_CAST(QuantityText AS DECIMAL(10,0))
-              THEN CAST(TRY_CAST(QuantityText AS DECIMAL(10,0)) AS BIGINT) END AS QuantitySold,
-         CAST(TRY_CAST(PriceText AS DECIMAL(38,18)) AS DECIMAL(12,2)) AS UnitPrice,
-         CAST(TRY_CAST(DiscountText AS DECIMAL(38,18)) AS DECIMAL(5,4)) AS Discount,
-         CAST(TRY_CAST(ShippingText AS DECIMAL(38,18)) AS DECIMAL(12,2)) AS ShippingCost
+         CAST(TRY_CAST(QuantityText AS DECIMAL(38,18)) AS DECIMAL(12,3)) AS QuantitySold,
+         CAST(TRY_CAST(PriceText AS DECIMAL(38,18)) AS DECIMAL(14,4)) AS UnitPrice,
+         CAST(TRY_CAST(DiscountText AS DECIMAL(38,18)) AS DECIMAL(8,6)) AS Discount,
+         CAST(TRY_CAST(ShippingText AS DECIMAL(38,18)) AS DECIMAL(14,4)) AS ShippingCost
   FROM blanked
 ),
 accepted AS (
@@ -125,7 +124,8 @@ accepted AS (
 
 PLACE = "l_orderkey, l_linenumber, l_partkey, l_shipdate"
 ORDER_COLUMNS = """OrderID, ProductID, CustomerID,
-       STRFTIME(DateOfSale, '%Y-%m-%d') AS DateOfSale, QuantitySold,
+       STRFTIME(DateOfSale, '%Y-%m-%d') AS DateOfSale,
+       CAST(QuantitySold AS DOUBLE) AS QuantitySold,
        CAST(UnitPrice AS DOUBLE) AS UnitPrice, CAST(Discount AS DOUBLE) AS Discount,
        CAST(ShippingCost AS DOUBLE) AS ShippingCost, PaymentMethod, Region"""
 CUSTOMER_COLUMNS = "CustomerID, CustomerName, CustomerEmail, CustomerAddress"
@@ -138,7 +138,7 @@ def first_rows(source: str, key: str, order: str = PLACE, where: str = "TRUE") -
 
 
 MEASURES = f"""CAST({SUM} AS DOUBLE) AS revenue,
-       CAST(SUM(QuantitySold) AS BIGINT) AS total_quantity_sold,
+       CAST(SUM(QuantitySold) AS DOUBLE) AS total_quantity_sold,
        COUNT(OrderID) AS total_orders"""
 
 
@@ -219,6 +219,7 @@ def load_counts() -> str:
         "unreadable_UnitPrice": "PriceText IS NOT NULL AND UnitPrice IS NULL",
         "unreadable_Discount": "DiscountText IS NOT NULL AND Discount IS NULL",
         "unreadable_ShippingCost": "ShippingText IS NOT NULL AND ShippingCost IS NULL",
+        "rounded_QuantitySold": "TRY_CAST(QuantityText AS DECIMAL(38,18)) <> QuantitySold",
         "rounded_UnitPrice": "TRY_CAST(PriceText AS DECIMAL(38,18)) <> UnitPrice",
         "rounded_Discount": "TRY_CAST(DiscountText AS DECIMAL(38,18)) <> Discount",
         "rounded_ShippingCost": "TRY_CAST(ShippingText AS DECIMAL(38,18)) <> ShippingCost",

@@ -135,7 +135,7 @@ def _typed(spark: SparkSession, folder: str, status: str | None = None) -> DataF
 
 def plain(rows: DataFrame) -> DataFrame:
     """Dates as ISO text and decimals as doubles, for comparison across engines."""
-    exact = {"UnitPrice", "Discount", "ShippingCost"}
+    exact = {"QuantitySold", "UnitPrice", "Discount", "ShippingCost"}
     return rows.select(
         *(
             F.date_format(c, "yyyy-MM-dd").alias(c)

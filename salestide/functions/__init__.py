@@ -4,7 +4,6 @@ from salestide.functions.cleaning import (
     NA_TOKENS,
     na_to_null,
     parse_amount,
-    parse_quantity,
 )
 from salestide.functions.dates import (
     DEFAULT_DATE_FORMATS,
@@ -23,7 +22,6 @@ __all__ = [
     "in_range",
     "na_to_null",
     "parse_amount",
-    "parse_quantity",
     "parse_sale_date",
     "period_label",
     "period_start",

@@ -1,4 +1,5 @@
-"""Tolerant parsing of text columns: bad text becomes null, never an error."""
+"""Tolerant parsing of text columns: bad text becomes null, never an error. The one
+exception is a number too large for its column."""
 
 from __future__ import annotations
 
@@ -8,8 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from salestide.schemas import QUANTITY_AS_DECIMAL
-
 # Texts read as a missing value.
 NA_TOKENS = (
     "",
@@ -35,6 +34,7 @@ NA_TOKENS = (
 
 # Wide enough to see the decimals that a money column rounds away.
 _AS_WRITTEN = T.DecimalType(38, 18)
+_NUMBER = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*\z"
 
 
 def na_to_null(text: Column, tokens: Sequence[str] = NA_TOKENS) -> Column:
@@ -52,10 +52,13 @@ def parse_amount(text: Column, kind: T.DecimalType) -> Column:
     return text.try_cast(kind)
 
 
-def parse_quantity(text: Column) -> Column:
-    """Whole number within ten digits, else null. ``2.0`` is whole, ``2.5`` is not."""
-    whole = text.try_cast(QUANTITY_AS_DECIMAL)
-    return F.when(whole == as_written(text), whole).cast("bigint")
+def or_too_large(text: Column, kind: T.DecimalType, name: str) -> Column:
+    """The parsed amount; a number that its type cannot hold is an error that names
+    the column, as a null there would take revenue away without a word."""
+    parsed = parse_amount(text, kind)
+    message = F.concat(F.lit(f"{name} has a number that does not fit {kind.simpleString()}: "), text)
+    too_large = parsed.isNull() & text.rlike(_NUMBER)
+    return F.when(too_large, F.raise_error(message).cast(kind)).otherwise(parsed)
 
 
 def is_unreadable(text: Column, parsed: Column) -> Column:

@@ -5,22 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from salestide.schemas import DISCOUNT, PRICE, QUANTITY_AS_DECIMAL, SHIPPING
+from salestide.schemas import DISCOUNT, PRICE, QUANTITY, SHIPPING
 
 
 def revenue_expr() -> Column:
-    """Revenue of one order row, decimal(31,6); null when any input is null.
+    """Revenue of one order row, decimal(38,13); null when any input is null.
 
     The casts are no-ops on frames that follow the declared schema. On wider
     inputs they fail loudly on overflow instead of losing scale silently.
     """
-    gross = F.col("UnitPrice").cast(PRICE) * F.col("QuantitySold").cast(QUANTITY_AS_DECIMAL)
+    gross = F.col("UnitPrice").cast(PRICE) * F.col("QuantitySold").cast(QUANTITY)
     kept = F.lit(1) - F.col("Discount").cast(DISCOUNT)
     return gross * kept + F.col("ShippingCost").cast(SHIPPING)
 
 
 def total_revenue_expr() -> Column:
-    """Sum of row revenue as decimal(38,6): the same in any row order."""
+    """Sum of row revenue as decimal(38,13): the same in any row order."""
     return F.sum(revenue_expr())
 
 

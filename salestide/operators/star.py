@@ -13,8 +13,8 @@ from salestide.functions.cleaning import (
     is_rounded,
     is_unreadable,
     na_to_null,
+    or_too_large,
     parse_amount,
-    parse_quantity,
 )
 from salestide.functions.dates import DEFAULT_DATE_FORMATS, parse_sale_date
 from salestide.operators.first_wins import POSITION, insert_or_ignore
@@ -25,12 +25,15 @@ from salestide.schemas import (
     FLAT_TO_ORDERS,
     FLAT_TO_PRODUCTS,
     PRICE,
+    QUANTITY,
     SHIPPING,
 )
 
+AMOUNTS = {"QuantitySold": QUANTITY, "UnitPrice": PRICE, "Discount": DISCOUNT, "ShippingCost": SHIPPING}
+
 # Columns that say what went wrong with a row; they feed the load report.
-UNREADABLE = ("DateOfSale", "QuantitySold", "UnitPrice", "Discount", "ShippingCost")
-ROUNDED = ("UnitPrice", "Discount", "ShippingCost")
+UNREADABLE = ("DateOfSale", *AMOUNTS)
+ROUNDED = tuple(AMOUNTS)
 
 ORDER_KEYS = ("OrderID", "ProductID", "CustomerID")
 
@@ -59,7 +62,8 @@ def type_rows(
     """All-text export rows plus a position, to typed rows under model names.
 
     Keys stay text as written. Nothing is dropped: a value that cannot be read
-    is null and flagged.
+    is null and flagged, one with more decimals than its column is rounded and
+    flagged, and a number too large for its column is an error.
     """
     require_columns(flat)
     names = {**FLAT_TO_CUSTOMERS, **FLAT_TO_PRODUCTS, **FLAT_TO_ORDERS}
@@ -67,17 +71,13 @@ def type_rows(
         *(na_to_null(F.col(f"`{header}`"), na_tokens).alias(name) for header, name in names.items()),
         POSITION,
     )
-    parsed = {
-        "DateOfSale": parse_sale_date("DateOfSale", date_formats),
-        "QuantitySold": parse_quantity(F.col("QuantitySold")),
-        "UnitPrice": parse_amount(F.col("UnitPrice"), PRICE),
-        "Discount": parse_amount(F.col("Discount"), DISCOUNT),
-        "ShippingCost": parse_amount(F.col("ShippingCost"), SHIPPING),
-    }
+    parsed = {"DateOfSale": parse_sale_date("DateOfSale", date_formats)}
+    parsed |= {name: parse_amount(F.col(name), kind) for name, kind in AMOUNTS.items()}
     untouched = [c for c in text.columns if c not in parsed]
     return text.select(
         *untouched,
-        *(column.alias(name) for name, column in parsed.items()),
+        parsed["DateOfSale"].alias("DateOfSale"),
+        *(or_too_large(F.col(name), kind, name).alias(name) for name, kind in AMOUNTS.items()),
         *(is_unreadable(F.col(c), parsed[c]).alias(f"unreadable_{c}") for c in UNREADABLE),
         *(is_rounded(F.col(c), parsed[c]).alias(f"rounded_{c}") for c in ROUNDED),
     )

@@ -41,7 +41,7 @@ def revenue_by_product(
         "ProductID",
         "ProductName",
         as_amount("revenue").alias("revenue"),
-        "total_quantity_sold",
+        as_amount("total_quantity_sold").alias("total_quantity_sold"),
         "total_orders",
     )
 
@@ -69,7 +69,7 @@ def revenue_by_category(
     return rank_by_revenue(categories, "Category", limit).select(
         "Category",
         as_amount("revenue").alias("revenue"),
-        "total_quantity_sold",
+        as_amount("total_quantity_sold").alias("total_quantity_sold"),
         "unique_products",
         "total_orders",
     )
@@ -91,7 +91,7 @@ def revenue_by_region(
     return rank_by_revenue(regions, "Region", limit).select(
         "Region",
         as_amount("revenue").alias("revenue"),
-        "total_quantity_sold",
+        as_amount("total_quantity_sold").alias("total_quantity_sold"),
         "unique_customers",
         "total_orders",
     )
@@ -113,7 +113,7 @@ def revenue_trends(
     return periods.orderBy("first_day").select(
         period_label("first_day", period).alias("period"),
         as_amount("revenue").alias("revenue"),
-        "total_quantity_sold",
+        as_amount("total_quantity_sold").alias("total_quantity_sold"),
         "total_orders",
     )
 

@@ -1,18 +1,18 @@
 """Declared schemas of the flat export and of the three star tables.
 
-Decimal widths are part of the contract: with these types a row's revenue fits
-decimal(31,6) and its sum decimal(38,6), so no scale is lost. Do not widen them
-without redoing that arithmetic.
+Decimal widths are part of the contract: with these types a row's revenue and any sum
+of it are decimal(38,13), so no scale is lost and 25 digits are left before the point.
+Do not widen them without redoing that arithmetic.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import types as T
 
-PRICE = T.DecimalType(12, 2)
-DISCOUNT = T.DecimalType(5, 4)
-SHIPPING = T.DecimalType(12, 2)
-QUANTITY_AS_DECIMAL = T.DecimalType(10, 0)
+PRICE = T.DecimalType(14, 4)
+DISCOUNT = T.DecimalType(8, 6)
+SHIPPING = T.DecimalType(14, 4)
+QUANTITY = T.DecimalType(12, 3)
 
 # Marks a column whose values the loader guarantees to be unique and not null.
 # Parquet reads come back nullable, so the promise travels as metadata.
@@ -81,7 +81,7 @@ ORDERS = T.StructType(
         _text("ProductID"),
         _text("CustomerID"),
         T.StructField("DateOfSale", T.DateType()),
-        T.StructField("QuantitySold", T.LongType()),
+        T.StructField("QuantitySold", QUANTITY),
         T.StructField("UnitPrice", PRICE),
         T.StructField("Discount", DISCOUNT),
         T.StructField("ShippingCost", SHIPPING),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salestide.operators.first_wins import POSITION
-from salestide.schemas import DISCOUNT, PRICE, SHIPPING
+from salestide.schemas import DISCOUNT, PRICE, QUANTITY, SHIPPING
 
 # Declared, so that reading a table starts no job to infer its schema.
 SCHEMAS = {
@@ -80,7 +80,7 @@ def orders(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_partkey").cast("string").alias("ProductID"),
         F.col("o_custkey").cast("string").alias("CustomerID"),
         F.col("o_orderdate").cast("date").alias("DateOfSale"),
-        F.col("l_quantity").cast("bigint").alias("QuantitySold"),
+        F.col("l_quantity").cast(QUANTITY).alias("QuantitySold"),
         F.col("p_retailprice").cast(PRICE).alias("UnitPrice"),
         F.col("l_discount").cast(DISCOUNT).alias("Discount"),
         F.col("p_size").cast(SHIPPING).alias("ShippingCost"),
@@ -98,7 +98,7 @@ def flat_export(spark: SparkSession, folder: str) -> DataFrame:
     """
     size, quantity, date = F.col("p_size"), F.col("l_quantity"), F.col("o_orderdate").cast("date")
     whole = quantity.cast("bigint").cast("string")
-    price = F.col("p_retailprice").cast(PRICE).cast("string")
+    price = F.col("p_retailprice").cast("decimal(12,2)").cast("string")
     line = F.col("l_linenumber").cast("string")
     columns = {
         "Order ID": F.when(quantity == 50, "").otherwise(line_id("l_orderkey", "l_linenumber")),
@@ -126,7 +126,7 @@ def flat_export(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(price),
         "Discount": F.when(
             (F.col("l_linenumber") == 7) & (F.col("l_returnflag") == "R"), "n/a"
-        ).otherwise(F.col("l_discount").cast(DISCOUNT).cast("string")),
+        ).otherwise(F.col("l_discount").cast("decimal(5,4)").cast("string")),
         "Shipping Cost": F.concat(size.cast("string"), F.lit(".00")),
         "Payment Method": F.col("o_orderpriority"),
         "Customer Name": F.concat_ws(" / ", "c_name", line),

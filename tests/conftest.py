@@ -33,8 +33,8 @@ def spark():
 
 def order(order_id, product, customer, day, quantity, price, discount, shipping, region):
     """One Orders row from short values; money is given as text."""
-    money = (None if x is None else Decimal(x) for x in (price, discount, shipping))
-    return (order_id, product, customer, dt.date.fromisoformat(day), quantity, *money, "Cash", region)
+    amounts = (None if x is None else Decimal(x) for x in (quantity, price, discount, shipping))
+    return (order_id, product, customer, dt.date.fromisoformat(day), *amounts, "Cash", region)
 
 
 @pytest.fixture(scope="session")

@@ -1,5 +1,5 @@
 import datetime as dt
-from decimal import Decimal
+from decimal import Context, Decimal, localcontext
 
 import pytest
 from pyspark.sql import Window
@@ -11,14 +11,13 @@ from salestide.functions import (
     in_range,
     na_to_null,
     parse_amount,
-    parse_quantity,
     parse_sale_date,
     period_label,
     period_start,
     revenue_expr,
 )
-from salestide.functions.cleaning import is_rounded, is_unreadable
-from salestide.schemas import PRICE
+from salestide.functions.cleaning import is_rounded, is_unreadable, or_too_large
+from salestide.schemas import PRICE, QUANTITY
 
 
 @pytest.fixture
@@ -51,20 +50,27 @@ def test_missing_value_tokens(evaluate):
     assert evaluate(["NA", ""], lambda c: na_to_null(c, ())) == ["NA", ""]
 
 
-def test_quantity_must_be_whole(evaluate):
-    texts = ["3", "2.0", " 4 ", "1e2", "-1", "2.5", "abc", "9999999999", "10000000000", None]
-    assert evaluate(texts, parse_quantity) == [3, 2, 4, 100, -1, None, None, 9999999999, None, None]
+def test_quantities_may_be_fractions(evaluate):
+    texts = ["3", "2.0", " 4 ", "1e2", "-1", "2.5", "abc", "999999999.999", "1d", "inf", None]
+    assert evaluate(texts, lambda c: or_too_large(c, QUANTITY, "QuantitySold")) == [
+        3, 2, 4, 100, -1, Decimal("2.5"), None, Decimal("999999999.999"), None, None, None]
+
+
+@pytest.mark.parametrize("text", ["10000000000", "-1e20", "1e400"])
+def test_a_number_too_large_for_its_column_is_an_error(evaluate, text):
+    with pytest.raises(Exception, match="QuantitySold has a number that does not fit"):
+        evaluate([text], lambda c: or_too_large(c, QUANTITY, "QuantitySold"))
 
 
 def test_amounts_round_half_up_and_never_fail(evaluate):
-    texts = ["1.5", "0.005", "0.00499999999999999999999", "-0.005", "abc", "1e20", None]
+    texts = ["1.5", "0.00005", "0.0000499999999999999999", "-0.00005", "abc", "1e20", None]
     got = evaluate(texts, lambda c: parse_amount(c, PRICE))
-    assert got == [Decimal("1.50"), Decimal("0.01"), Decimal("0.00"), Decimal("-0.01"),
+    assert got == [Decimal("1.50"), Decimal("0.0001"), Decimal("0.00"), Decimal("-0.0001"),
                    None, None, None]
 
 
 def test_quality_flags(evaluate):
-    texts = ["1.50", "1.005", "abc", None]
+    texts = ["1.50", "1.00005", "abc", None]
     assert evaluate(texts, lambda c: is_unreadable(c, parse_amount(c, PRICE))) == [
         False, False, True, False]
     assert evaluate(texts, lambda c: is_rounded(c, parse_amount(c, PRICE))) == [
@@ -75,8 +81,8 @@ def test_revenue_is_exact_and_typed(make_orders):
     orders = make_orders([("o", "p", "c", "2024-01-01", 3, "59.99", "0.2", "5", "N")])
     frame = orders.select(revenue_expr().alias("r"), F.sum(revenue_expr()).over(
         Window.partitionBy()).alias("s"))
-    assert frame.schema["r"].dataType == T.DecimalType(31, 6)
-    assert frame.schema["s"].dataType == T.DecimalType(38, 6)
+    assert frame.schema["r"].dataType == T.DecimalType(38, 13)
+    assert frame.schema["s"].dataType == T.DecimalType(38, 13)
     assert frame.first().r == Decimal("148.976")
 
 
@@ -88,12 +94,24 @@ def test_revenue_is_null_when_any_part_is(make_orders, hole):
 
 
 def test_widest_values_keep_their_scale(make_orders):
-    row = ("o", "p", "c", "2024-01-01", 9999999999, "9999999999.99", "-9.9999", "9999999999.99", "N")
-    expected = (Decimal("9999999999.99") * 9999999999 * (1 + Decimal("9.9999"))
-                + Decimal("9999999999.99"))
+    row = ("o", "p", "c", "2024-01-01", "999999999.999", "9999999999.9999", "-99.999999",
+           "9999999999.9999", "N")
+    with localcontext(Context(prec=60)):
+        expected = (Decimal("9999999999.9999") * Decimal("999999999.999") * Decimal("100.999999")
+                    + Decimal("9999999999.9999"))
     assert make_orders([row]).select(revenue_expr()).first()[0] == expected
 
 
+@pytest.mark.parametrize(
+    ("quantity", "price", "discount", "revenue"),
+    [("2.5", "10", "0", "26"), ("1", "1.899", "0", "2.899"), ("3", "1", "0.33333", "3.00001"),
+     ("1", "10", "10", "-89"), ("1", "2345678901.0001", "0", "2345678902.0001")],
+)
+def test_no_revenue_is_lost_to_widths(make_orders, quantity, price, discount, revenue):
+    row = ("o", "p", "c", "2024-01-01", quantity, price, discount, "1", "N")
+    assert make_orders([row]).select(revenue_expr()).first()[0] == Decimal(revenue)
+
+
 def test_range_includes_both_ends(make_orders):
     days = ["2024-01-31", "2024-02-01", "2024-02-29", "2024-03-01"]
     orders = make_orders([(d, "p", "c", d, 1, "1", "0", "0", "N") for d in days])
