@@ -57,16 +57,18 @@ def customers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def joined_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Order lines with their order, customer, region and part."""
-    places = (
-        table(spark, folder, "customer")
-        .join(table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    )
-    sales = table(spark, folder, "orders").join(places, F.col("o_custkey") == F.col("c_custkey"))
+    """Order lines with their order, customer, region and part.
+
+    Lines come first and every other table is joined alone: the size of a table is
+    known when the join is planned, that of a join only overestimated, which would
+    make the lines the side to broadcast.
+    """
     return (
         table(spark, folder, "lineitem")
-        .join(sales, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
     )
 

@@ -1,6 +1,7 @@
 """Physical plans: what is read, what is shuffled, what is never planned."""
 
 import datetime as dt
+import os
 import re
 
 import pytest
@@ -180,6 +181,14 @@ def split_values(values: str) -> list[str]:
     return re.split(r", (?![^(]*\))", values)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_lines_are_never_the_broadcast_side(spark):
+    orders = trade_tables.orders(spark, "/root/testdata/sf0.1")
+    tree = plan_of(total_revenue(orders, "1996-01-01", "1998-12-31")).split("\n\n")[0]
+    assert "BroadcastHashJoin" in tree
+    assert "BuildLeft" not in tree
+
+
 def test_hot_join_keys_are_split_at_run_time(spark, skewed_tables):
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
