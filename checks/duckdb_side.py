@@ -302,6 +302,8 @@ FROM typed""",
     + first_rows("typed", "ProductID", STORED_FIRST),
     "refresh_overwrite": f"WITH {EXPORT}\nSELECT {ORDER_COLUMNS} FROM "
     + first_rows("accepted", "OrderID", where=NEW_ONLY),
+    "refresh_append_small_load": f"WITH {EXPORT}\nSELECT {ORDER_COLUMNS} FROM "
+    + first_rows("accepted", "OrderID", STORED_FIRST),
     "load_report": load_counts(),
     "revenue_by_category_after_ingest": by_category(INGESTED),
     "revenue_by_region_after_ingest": by_region(INGESTED),

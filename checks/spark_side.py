@@ -11,7 +11,9 @@ from pyspark.sql import types as T
 from salestide.functions import as_amount, in_range, revenue_expr
 from salestide.operators.star import Star, candidates, merged, normalise, orphan_references, type_rows
 from salestide.params import check_range
+from salestide.plans.load_report import accepted_keys
 from salestide.plans.load_report import load_report as load_report_plan
+from salestide.plans.refresh import keys_fit
 from salestide.plans.reports import (
     result_rows,
     revenue_by_category,
@@ -231,11 +233,17 @@ def _refreshed(table: str, mode: str) -> Query:
     return lambda spark, folder: plain(getattr(after_refresh(spark, folder, mode), table))
 
 
-def load_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Counts of the second of two loads, in append mode."""
+def small_load_append(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders after a load whose measured keys are few enough to be broadcast."""
     stored = normalise(_typed(spark, folder, "F"))
     typed = _typed(spark, folder, "O")
-    return load_report_plan(typed, normalise(typed, stored))
+    fits = keys_fit(spark, typed)
+    return plain(merged(stored, normalise(typed, stored, fits)).orders)
+
+
+def load_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of the second of two loads, in append mode."""
+    return load_report_plan(_typed(spark, folder, "O"), accepted_keys(_typed(spark, folder, "F")))
 
 
 def _after_ingest(plan, products: bool) -> Query:
@@ -276,6 +284,7 @@ QUERIES: dict[str, Query] = {
     "refresh_append_customers": _refreshed("customers", "append"),
     "refresh_append_products": _refreshed("products", "append"),
     "refresh_overwrite": _refreshed("orders", "overwrite"),
+    "refresh_append_small_load": small_load_append,
     "load_report": load_report,
     "revenue_by_category_after_ingest": _after_ingest(revenue_by_category, products=True),
     "revenue_by_region_after_ingest": _after_ingest(revenue_by_region, products=False),

@@ -1,6 +1,7 @@
 """Flat rows to star rows: every cleaning and rejection rule."""
 
 import datetime as dt
+import os
 from decimal import Decimal
 
 import pytest
@@ -8,8 +9,10 @@ from conftest import flat_row, row_set
 
 from salestide.operators.first_wins import POSITION
 from salestide.operators.star import candidates, normalise, orphan_references, type_rows
-from salestide.plans.load_report import load_report
+from salestide.plans.load_report import accepted_keys, keys_of, load_report
+from salestide.plans.refresh import keys_fit
 from salestide.schemas import FLAT_HEADER
+from salestide.sources.trade_tables import flat_export
 
 
 @pytest.fixture(scope="module")
@@ -108,7 +111,7 @@ def test_load_report(typed):
         flat_row(product=""),
         flat_row(customer="", discount="ten"),
     ])
-    got = {r.metric: r["rows"] for r in load_report(rows, normalise(rows, stored)).collect()}
+    got = {r.metric: r["rows"] for r in load_report(rows, keys_of(stored)).collect()}
     assert got == {
         "rows_read": 8,
         "customers_without_key": 1,
@@ -150,3 +153,34 @@ def test_orphan_references(make_orders, make_products, make_customers):
     lost = orphan_references(
         orders, make_products([("B", "b", "k")]), make_customers([("c1", "n", "e", "a")]))
     assert row_set(lost) == {("ProductID", "A", 2), ("CustomerID", "c2", 2)}
+
+
+def test_load_report_of_a_first_load(typed):
+    rows = typed([flat_row(order="o1"), flat_row(order="o1"), flat_row(order="o2")])
+    got = {r.metric: r["rows"] for r in load_report(rows).collect()}
+    assert (got["orders_inserted"], got["orders_ignored"], got["customers_inserted"]) == (2, 1, 1)
+
+
+def test_load_report_of_nothing(typed):
+    rows = typed([flat_row()]).where("false")
+    got = {r.metric: r["rows"] for r in load_report(rows).collect()}
+    assert set(got.values()) == {0} and len(got) == 23
+
+
+@pytest.mark.parametrize("threshold, fits", [("-1", False), ("1k", True), ("100", False)])
+def test_keys_fit_by_the_sessions_threshold(spark, typed, threshold, fits):
+    rows = typed([flat_row(order=f"o{i % 3}") for i in range(100)])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        assert keys_fit(spark, rows)["orders"] is fits
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_load_report_scans_each_side_once(typed, spark):
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    new, old = (type_rows(flat_export(spark, folder)) for _ in range(2))
+    plan = load_report(new, accepted_keys(old))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 2
