@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from salestide.llm import (
     bpe,
+    byte_bpe,
     exact_dedup,
     language,
     license_scan,
@@ -19,10 +20,13 @@ from salestide.llm import (
     secret_scan,
     simhash,
     token_files,
+    whitening,
+    word_runs,
 )
 from salestide.llm.tables import WORD, documents, ship_code, word_count
 
 VOCABULARY = "word_bpe_49k.json"
+RANKS = "byte_bpe_50k.tiktoken"
 END_ID = 1
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,6 +131,21 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.written_documents(documents(spark, sf_dir), vocabulary(), END_ID)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_runs.digests(documents(spark, sf_dir))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path(RANKS)
+    return byte_bpe.round_trip(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: _with_code(f)
     for f in (
@@ -140,6 +159,9 @@ QUERIES: dict[str, Query] = {
         op8_bpe,
         op9_exact_dedup,
         op10_token_files,
+        op11_whitening,
+        op12_periodic_runs,
+        op13_byte_bpe,
     )
 }
 

@@ -1,0 +1,133 @@
+"""Periodic runs against the definition, tried at every place."""
+
+import hashlib
+import random
+import re
+import zlib
+from fractions import Fraction
+
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from salestide.llm import word_runs
+
+
+def by_definition(words):
+    """For each period, the rows of equal words that far apart; the smallest period of a
+    stretch by trying all smaller ones."""
+    n, out = len(words), []
+    for q in range(1, n // 3 + 1):
+        i = q
+        while i < n:
+            if words[i] != words[i - q]:
+                i += 1
+                continue
+            j = i
+            while j < n and words[j] == words[j - q]:
+                j += 1
+            start, length = i - q, j - i + q
+            stretch = words[start : start + length]
+            if length >= max(24, 3 * q) and not any(
+                all(stretch[k] == stretch[k - p] for k in range(p, length)) for p in range(1, q)
+            ):
+                out.append((start, length, q))
+            i = j
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def found(texts):
+    numbers = {}
+    flat = np.array([numbers.setdefault(w, len(numbers)) for t in texts for w in t], np.int64)
+    borders = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    return word_runs.found_runs(flat, borders)
+
+
+@st.composite
+def periodic(draw):
+    """Words with runs inside runs, damaged here and there."""
+    letters = st.lists(st.integers(0, draw(st.integers(0, 3))), max_size=6)
+    words = []
+    for _ in range(draw(st.integers(1, 4))):
+        inner = draw(letters) * draw(st.integers(0, 30)) + draw(letters)
+        words += inner * draw(st.integers(1, 5))
+    words = words[:400]
+    for _ in range(draw(st.integers(0, 2))):
+        if words:
+            words[draw(st.integers(0, len(words) - 1))] = 9
+    return words
+
+
+@given(st.lists(periodic(), max_size=4))
+@settings(max_examples=400, deadline=None)
+def test_runs_equal_the_definition(texts):
+    assert found(texts) == [by_definition(t) for t in texts]
+
+
+def test_long_periods():
+    rng = random.Random(3)
+    for period in (15, 16, 17, 31, 32, 33, 64, 65, 100, 127):
+        unit = [rng.randrange(40) for _ in range(period)]
+        text = [99] + unit * 4 + unit[: period // 2] + [98, 97]
+        assert found([text, unit * 3, unit * 2, unit * 3 + unit[:-1]]) == [
+            by_definition(t) for t in (text, unit * 3, unit * 2, unit * 3 + unit[:-1])
+        ]
+        assert (1, len(text) - 3, period) in found([text])[0]
+
+
+def test_one_word_ten_thousand_times_and_a_million():
+    assert found([[1] * 10_000]) == [[(0, 10_000, 1)]]
+    assert found([[1, 2] * 500_000]) == [[(0, 1_000_000, 2)]]
+
+
+def digest(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def expected(key, text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    n = len(words)
+    if key is not None and n:
+        h = zlib.crc32(str(key).encode())
+        g = h // 10
+        if h % 10 == 0:
+            a, original = g % n, list(words)
+            p = 1 + (n - a) // (3 + g % 8)
+            words = [w if i < a else original[a + (i - a) % p] for i, w in enumerate(words)]
+    runs = found([words])[0]
+    gone = {i for s, m, q in runs for i in range(s + q, s + m)}
+    best = min(runs, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2]), default=None)
+    measures = (*best, 1000 * best[1] // best[2]) if best else (None,) * 4
+    shown = "".join(f"{s},{m},{q}\n" for s, m, q in runs)
+    return (key, len(runs), *measures, digest(shown), digest(" ".join(w for i, w in enumerate(words) if i not in gone)))
+
+
+def test_query_columns(awkward, sample):
+    for docs in (awkward, sample):
+        want = sorted((expected(r.doc_id, r.text) for r in docs.collect()), key=str)
+        got = sorted((tuple(r) for r in word_runs.digests(docs).collect()), key=str)
+        assert got == want
+    assert sum(row[1] > 0 for row in want) > 5
+
+
+def test_small_texts_against_the_definition(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice("ab") for _ in range(rng.randrange(60)))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = [t.split() for _, t in rows]
+    assert [[tuple(x) for x in r.runs] for r in word_runs.periodic_runs(docs).orderBy("doc_id").collect()] == [
+        by_definition(t) for t in texts
+    ]
+
+
+def test_collapsed_text_keeps_one_period(spark):
+    text = "start " + "one two three " * 10 + "end"
+    rows = spark.createDataFrame([(1, text), (2, None), (None, "a " * 30)], "doc_id long, text string")
+    got = {r.doc_id: r for r in word_runs.periodic_runs(rows).collect()}
+    assert got[1].collapsed == "start one two three end" and got[1].runs[0].asDict() == {"start": 1, "length": 30, "period": 3}
+    assert got[2].collapsed == "" and got[2].runs == [] and got[None].collapsed == "a"
+
+
+def test_empty_table_and_clashing_names(nothing, clashing, awkward):
+    assert word_runs.digests(nothing).count() == 0
+    assert sorted(map(str, word_runs.digests(clashing).collect())) == sorted(map(str, word_runs.digests(awkward).collect()))
