@@ -203,6 +203,17 @@ STORED_FIRST = f"line_status, {PLACE}"  # F sorts before O
 NEW_ONLY = "line_status = 'O'"
 
 
+# The export with numbers too large and cells beyond the header, by the same rules.
+NO_KEYS = "(OrderID IS NULL OR ProductID IS NULL OR CustomerID IS NULL)"
+ASIDE = f"""{EXPORT},
+aside AS (
+  SELECT *, l_linenumber = 6 AS surplus, ShippingText = '43.00' AS too_large,
+         l_linenumber = 6 OR ShippingText = '43.00' AS refused,
+         {NO_KEYS} OR DateOfSale IS NULL AS no_order
+  FROM typed
+)"""
+
+
 def load_counts() -> str:
     no_keys = "(OrderID IS NULL OR ProductID IS NULL OR CustomerID IS NULL)"
     counts = {
@@ -305,6 +316,34 @@ FROM typed""",
     "refresh_append_small_load": f"WITH {EXPORT}\nSELECT {ORDER_COLUMNS} FROM "
     + first_rows("accepted", "OrderID", STORED_FIRST),
     "load_report": load_counts(),
+    "append_by_key_index": f"WITH {EXPORT}\nSELECT {ORDER_COLUMNS} FROM "
+    + first_rows("accepted", "OrderID", STORED_FIRST),
+    "compacted_orders": f"WITH {EXPORT}\nSELECT {ORDER_COLUMNS} FROM "
+    + first_rows("accepted", "OrderID", STORED_FIRST),
+    "landed_orders": f"""WITH {EXPORT}
+SELECT {ORDER_COLUMNS} FROM (
+  SELECT * REPLACE (CONCAT_WS('-', l_orderkey, l_linenumber, l_partkey, CAST(l_shipdate AS DATE)) AS OrderID)
+  FROM typed WHERE ProductID IS NOT NULL AND CustomerID IS NOT NULL AND DateOfSale IS NOT NULL)""",
+    "quarantined_rows": f"""WITH {ASIDE}
+SELECT CONCAT_WS('-', a.l_orderkey, a.l_linenumber, a.l_partkey, CAST(a.l_shipdate AS DATE)) AS place,
+       CONCAT_WS('; ',
+         CASE WHEN surplus THEN 'cells beyond the header: ,,extra' END,
+         CASE WHEN too_large THEN 'UnitPrice is too large: 99999999999.00' END,
+         CASE WHEN a.OrderID IS NULL THEN 'no OrderID' END,
+         CASE WHEN a.ProductID IS NULL THEN 'no ProductID' END,
+         CASE WHEN a.CustomerID IS NULL THEN 'no CustomerID' END,
+         CASE WHEN a.DateText IS NULL THEN 'no DateOfSale'
+              WHEN a.DateOfSale IS NULL THEN 'DateOfSale is unreadable: ' || a.DateText END) AS reasons,
+       CASE WHEN too_large THEN '99999999999.00' ELSE a.PriceText END AS price,
+       CASE WHEN a.OrderID IS NULL THEN '' ELSE a.OrderID END AS order_id
+FROM aside a WHERE refused OR no_order""",
+    "orders_beside_quarantine": f"WITH {ASIDE}\nSELECT {ORDER_COLUMNS} FROM aside WHERE NOT refused AND NOT no_order",
+    "quarantine_balance": f"""WITH {ASIDE}
+SELECT COUNT(*) AS rows_read, COUNT(*) FILTER (NOT refused AND NOT no_order) AS orders_accepted,
+       COUNT(*) FILTER (refused OR no_order) AS rows_rejected, COUNT(*) FILTER (refused) AS rows_refused,
+       COUNT(*) FILTER (NOT refused AND CustomerID IS NOT NULL) AS customers_accepted,
+       COUNT(*) FILTER (NOT refused AND ProductID IS NOT NULL) AS products_accepted
+FROM aside""",
     "revenue_by_category_after_ingest": by_category(INGESTED),
     "revenue_by_region_after_ingest": by_region(INGESTED),
     "revenue_summary_after_ingest": summary(INGESTED),

@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import tempfile
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from salestide.functions import as_amount, in_range, revenue_expr
-from salestide.operators.star import Star, candidates, merged, normalise, orphan_references, type_rows
+from salestide.operators.star import (
+    SURPLUS,
+    Star,
+    candidates,
+    merged,
+    normalise,
+    orphan_references,
+    rejected_rows,
+    type_rows,
+)
 from salestide.params import check_range
-from salestide.plans.load_report import accepted_keys
+from salestide.plans.load_report import accepted_keys, quality_columns
 from salestide.plans.load_report import load_report as load_report_plan
-from salestide.plans.refresh import keys_fit
+from salestide.plans.refresh import compact, keys_fit, load_rows
 from salestide.plans.reports import (
     result_rows,
     revenue_by_category,
@@ -26,6 +38,8 @@ from salestide.plans.summary import revenue_summary
 from salestide.schemas import FLAT_HEADER
 from salestide.sources import trade_tables
 from salestide.sources.spanning_csv import parsed_records, records_of
+from salestide.sources.store import SalesStore
+from salestide.streaming.landing import refresh_from_landing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -160,16 +174,19 @@ def parsed_rows(spark: SparkSession, folder: str) -> DataFrame:
     return _placed(_typed(spark, folder))
 
 
-def _placed(typed: DataFrame) -> DataFrame:
-    names = [c for c in typed.columns if c[0].isupper()]
-    place = F.concat_ws(
+def _place() -> Column:
+    return F.concat_ws(
         "-",
         "_position.l_orderkey",
         "_position.l_linenumber",
         "_position.l_partkey",
         F.col("_position.l_shipdate").cast("date"),
     )
-    return plain(typed.select(place.alias("place"), *names))
+
+
+def _placed(typed: DataFrame) -> DataFrame:
+    names = [c for c in typed.columns if c[0].isupper()]
+    return plain(typed.select(_place().alias("place"), *names))
 
 
 def csv_records(spark: SparkSession, folder: str) -> DataFrame:
@@ -246,6 +263,101 @@ def load_report(spark: SparkSession, folder: str) -> DataFrame:
     return load_report_plan(_typed(spark, folder, "O"), accepted_keys(_typed(spark, folder, "F")))
 
 
+# -- the stored tables --------------------------------------------------------
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A fresh folder that the driver and all executors see: the cluster's own, or, on
+    one machine, a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+    return f"{shared or tempfile.mkdtemp(prefix='sales-')}/check-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def _without_broadcast(spark: SparkSession) -> Iterator[None]:
+    """In here no load counts as small, so keys are indexed."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _two_loads(spark: SparkSession, folder: str) -> SalesStore:
+    store = SalesStore(spark, _scratch(spark))
+    flat = trade_tables.flat_export(spark, folder)
+    with _without_broadcast(spark):
+        for status in ("F", "O"):
+            load_rows(flat.where(F.col("line_status") == status), store.root, source=status)
+    return store
+
+
+def append_by_key_index(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders after two loads into stored tables; the second finds the keys of the first
+    in the key index."""
+    return plain(_two_loads(spark, folder).orders().drop("SaleMonth"))
+
+
+def compacted_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """The same when both loads were put together afterwards."""
+    store = _two_loads(spark, folder)
+    compact(spark, store.root)
+    store.drop_replaced_runs()
+    return plain(store.orders().drop("SaleMonth"))
+
+
+def landed_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """The export as CSV files in a landing folder, taken in by the stream. Each row is
+    an order of its own, so that the order of files doesn't matter; some product names
+    hold line breaks, quotes and commas."""
+    home = _scratch(spark)
+    name = F.concat(F.col("`Product Name`"), F.lit('\n"x", y'))
+    broken = F.when(F.col("_position.l_linenumber") % 3 == 0, name).otherwise(F.col("`Product Name`"))
+    flat = trade_tables.flat_export(spark, folder)
+    flat = flat.withColumn("Product Name", broken).withColumn("Order ID", _place())
+    csv = flat.select(*FLAT_HEADER).write.options(header=True, escape='"', quoteAll=True)
+    csv.csv(f"{home}/landing")
+    query = refresh_from_landing(spark, f"{home}/landing", f"{home}/store", f"{home}/stream")
+    query.awaitTermination()
+    return plain(SalesStore(spark, f"{home}/store").orders().drop("SaleMonth"))
+
+
+# -- quarantine ---------------------------------------------------------------
+
+
+def _set_aside(spark: SparkSession, folder: str) -> DataFrame:
+    """Typed rows of an export in which some prices are too large for their column and
+    some lines hold cells beyond the header."""
+    price, line = F.col("`Unit Price`"), F.col("_position.l_linenumber")
+    flat = trade_tables.flat_export(spark, folder)
+    flat = flat.withColumn(
+        "Unit Price", F.when(F.col("`Shipping Cost`") == "43.00", "99999999999.00").otherwise(price)
+    ).withColumn(SURPLUS, F.when(line == 6, ",,extra"))
+    return type_rows(flat, quarantine=True)
+
+
+def quarantined_rows(spark: SparkSession, folder: str) -> DataFrame:
+    rejected = rejected_rows(_set_aside(spark, folder))
+    return rejected.select(
+        _place().alias("place"), "reasons", F.col("`Unit Price`").alias("price"), F.col("`Order ID`").alias("order_id")
+    )
+
+
+def orders_beside_quarantine(spark: SparkSession, folder: str) -> DataFrame:
+    return plain(candidates(_set_aside(spark, folder)).orders.drop("_position"))
+
+
+def quarantine_balance(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows read are orders accepted and rows rejected."""
+    return _set_aside(spark, folder).agg(*quality_columns(quarantine=True)).select(
+        "rows_read", "orders_accepted", "rows_rejected", "rows_refused", "customers_accepted", "products_accepted"
+    )
+
+
 def _after_ingest(plan, products: bool) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         star = normalise(_typed(spark, folder))
@@ -286,6 +398,12 @@ QUERIES: dict[str, Query] = {
     "refresh_overwrite": _refreshed("orders", "overwrite"),
     "refresh_append_small_load": small_load_append,
     "load_report": load_report,
+    "append_by_key_index": append_by_key_index,
+    "compacted_orders": compacted_orders,
+    "landed_orders": landed_orders,
+    "quarantined_rows": quarantined_rows,
+    "orders_beside_quarantine": orders_beside_quarantine,
+    "quarantine_balance": quarantine_balance,
     "revenue_by_category_after_ingest": _after_ingest(revenue_by_category, products=True),
     "revenue_by_region_after_ingest": _after_ingest(revenue_by_region, products=False),
     "revenue_summary_after_ingest": _after_ingest(_flat_summary, products=True),

@@ -52,13 +52,17 @@ def parse_amount(text: Column, kind: T.DecimalType) -> Column:
     return text.try_cast(kind)
 
 
+def is_too_large(text: Column, parsed: Column) -> Column:
+    """A number was written, and its column cannot hold it."""
+    return F.coalesce(parsed.isNull() & text.rlike(_NUMBER), F.lit(False))
+
+
 def or_too_large(text: Column, kind: T.DecimalType, name: str) -> Column:
     """The parsed amount; a number that its type cannot hold is an error that names
     the column, as a null there would take revenue away without a word."""
     parsed = parse_amount(text, kind)
     message = F.concat(F.lit(f"{name} has a number that does not fit {kind.simpleString()}: "), text)
-    too_large = parsed.isNull() & text.rlike(_NUMBER)
-    return F.when(too_large, F.raise_error(message).cast(kind)).otherwise(parsed)
+    return F.when(is_too_large(text, parsed), F.raise_error(message).cast(kind)).otherwise(parsed)
 
 
 def is_unreadable(text: Column, parsed: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,16 @@ from pyspark.sql import functions as F
 POSITION = "_position"
 
 
+@dataclass(frozen=True)
+class StoredKeys:
+    """The keys of a stored table: those with an index, which lies spread over
+    ``buckets`` by key, and those of loads too small to have one."""
+
+    indexed: DataFrame | None
+    buckets: int
+    recent: DataFrame | None
+
+
 def first_wins(rows: DataFrame, key: str) -> DataFrame:
     """The row with the smallest position per key, null attributes included.
 
@@ -32,19 +44,40 @@ def stored_matches(stored: DataFrame, candidates: DataFrame, key: str) -> DataFr
     return stored.select(key).join(incoming, key, "left_semi")
 
 
+def not_indexed(candidates: DataFrame, keys: StoredKeys, key: str) -> DataFrame:
+    """First row per key, for keys that are not stored.
+
+    The new rows are dealt out as the index is, so each bucket of it is read where it
+    is needed and nothing stored is shuffled. Keys without an index are few: they come
+    from loads whose keys fit a broadcast, since the last compaction.
+    """
+    new = first_wins(candidates, key)
+    if keys.indexed is not None:
+        new = new.repartition(keys.buckets, key).join(keys.indexed, key, "left_anti")
+    return new if keys.recent is None else new.join(keys.recent, key, "left_anti")
+
+
 def insert_or_ignore(
-    candidates: DataFrame, stored: DataFrame | None, key: str, *, keys_fit_broadcast: bool = False
+    candidates: DataFrame,
+    stored: DataFrame | None,
+    key: str,
+    *,
+    keys_fit_broadcast: bool = False,
+    stored_keys: StoredKeys | None = None,
 ) -> DataFrame:
     """Rows to insert: first row per key, for keys not stored yet.
 
     ``keys_fit_broadcast`` is the caller's statement that the candidate keys were
     measured and are small. Small loads never move the stored table. Large ones
-    reduce to one row per key first and then anti-join on that partitioning, so
-    neither side of the join has a repeated key.
+    reduce to one row per key first and then anti-join: with the key index if the
+    caller has one, else on the partitioning that the reduction left. Neither side of
+    the join has a repeated key.
     """
     if stored is None:
         return first_wins(candidates, key)
     if keys_fit_broadcast:
         taken = F.broadcast(stored_matches(stored, candidates, key))
         return first_wins(candidates.join(taken, key, "left_anti"), key)
+    if stored_keys is not None:
+        return not_indexed(candidates, stored_keys, key)
     return first_wins(candidates, key).join(stored.select(key), key, "left_anti")

@@ -93,3 +93,13 @@ ORDERS = T.StructType(
 # Partition column of stored Orders: first day of the sale month.
 SALE_MONTH = "SaleMonth"
 STORED_ORDERS = T.StructType([*ORDERS.fields, T.StructField(SALE_MONTH, T.DateType())])
+
+# Rows set aside by a load: where they stood, why, and their cells as written.
+REJECTED = T.StructType(
+    [
+        T.StructField("file", T.StringType()),
+        T.StructField("record", T.LongType()),
+        T.StructField("reasons", T.StringType()),
+        *(T.StructField(name, T.StringType()) for name in FLAT_HEADER),
+    ]
+)

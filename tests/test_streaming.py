@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from conftest import flat_row, write_csv
 
@@ -73,3 +75,91 @@ def test_undeclared_columns_stop_the_stream(spark, folders):
     with pytest.raises(Exception, match="header"):
         run(spark, landing, home, checkpoint)
     assert SalesStore(spark, home).loads().count() == 0
+
+
+def raw(path, *rows, header=FLAT_HEADER):
+    path.write_text("\n".join([",".join(header), *rows]) + "\n")
+
+
+def cells(order, name="Lamp", address="Low Rd"):
+    return f"{order},p1,c1,{name},Light,North,2024-01-05,2,10.00,0.1,1.00,card,Ann,a@x.org,{address}"
+
+
+def test_unclosed_quote_stops_the_stream_by_file_name(spark, folders):
+    landing, home, checkpoint = folders
+    raw(landing / "bad one.csv", cells(1, '"open'), cells(2), cells(3))
+    with pytest.raises(Exception, match="never closed in.*bad.*one.csv"):
+        run(spark, landing, home, checkpoint)
+    assert SalesStore(spark, home).loads().count() == 0
+
+
+@pytest.mark.parametrize("address", ["Low Rd, Town", "Low Rd,,Town", "Low Rd,,,,9"])
+@pytest.mark.parametrize("name", ["Lamp", '"two\nlines"'])
+def test_surplus_cells_stop_the_stream_by_file_name(spark, folders, name, address):
+    landing, home, checkpoint = folders
+    raw(landing / "odd.csv", cells(1, name), cells(2, address=address), cells(3))
+    with pytest.raises(Exception, match="more cells than the header.*odd.csv"):
+        run(spark, landing, home, checkpoint)
+    assert SalesStore(spark, home).loads().count() == 0
+
+
+def test_empty_surplus_cells_are_nothing(spark, folders):
+    landing, home, checkpoint = folders
+    raw(landing / "1.csv", cells(1) + ",,", cells(2) + ',"",')
+    raw(landing / "2.csv", cells(3, '"two\nlines"') + ",,")
+    run(spark, landing, home, checkpoint)
+    assert {k for k, _ in orders_of(spark, home)} == {"1", "2", "3"}
+
+
+def test_one_file_with_line_breaks_is_read_by_several_tasks(spark, folders):
+    landing, home, checkpoint = folders
+    names = ['"two\nlines"', "plain", '24" wide', '"a ""b"",\n\n"', "x"]
+    raw(landing / "1.csv", *[cells(f"{i:03}", names[i % 5]) for i in range(300)])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        run(spark, landing, home, checkpoint)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {k for k, _ in orders_of(spark, home)} == {f"{i:03}" for i in range(300)}
+
+
+def test_files_may_have_headers_of_their_own(spark, folders):
+    landing, home, checkpoint = folders
+    write_csv(landing / "1.csv", [flat_row(order="a")])
+    write_csv(landing / "2.csv", [flat_row(order="b")], FLAT_HEADER[::-1])
+    run(spark, landing, home, checkpoint, columns=None)
+    assert {k for k, _ in orders_of(spark, home)} == {"a", "b"}
+
+
+def test_files_are_taken_by_arrival(spark, folders):
+    landing, home, checkpoint = folders
+    for name, quantity, at in (("b.csv", "1", 1000), ("a.csv", "2", 2000)):
+        write_csv(landing / name, [flat_row(order="same", quantity=quantity)])
+        os.utime(landing / name, (at, at))
+    run(spark, landing, home, checkpoint)
+    assert orders_of(spark, home) == {("same", 1)}
+
+
+@pytest.mark.parametrize("mode", ["append", "overwrite"])
+def test_a_replayed_batch_is_skipped(spark, folders, mode):
+    """The batch was published, and the stream died before it noted that."""
+    landing, home, checkpoint = folders
+    write_csv(landing / "1.csv", [flat_row(order="a")])
+    run(spark, landing, home, checkpoint, mode=mode)
+    before = SalesStore(spark, home).loads().collect()
+    assert [(x.epoch, bool(x.stream)) for x in before] == [(0, True)]
+    os.remove(f"{checkpoint}/commits/0")
+    os.remove(f"{checkpoint}/commits/.0.crc")
+    os.remove(landing / "1.csv")  # it isn't even read
+    run(spark, landing, home, checkpoint, mode=mode)
+    assert SalesStore(spark, home).loads().collect() == before
+    assert sorted(os.listdir(f"{home}/orders")) == ["run=1"]
+
+
+def test_quarantine_lets_the_stream_go_on(spark, folders):
+    landing, home, checkpoint = folders
+    raw(landing / "1.csv", cells(1), cells(2, address="Low Rd,,Town"), cells(3))
+    run(spark, landing, home, checkpoint, quarantine=True)
+    assert {k for k, _ in orders_of(spark, home)} == {"1", "3"}
+    row, = SalesStore(spark, home).rejected().collect()
+    assert row.file.endswith("/1.csv") and row.record == 2 and row.reasons == "cells beyond the header: ,,Town"
