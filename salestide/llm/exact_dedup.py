@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salestide.llm.tables import cut, let, saved
+from salestide.llm.tables import cut, let, saved, unused
 
 BLOCK_CHARS = 4096
 
@@ -137,12 +137,16 @@ def duplicate_groups(
 
 
 def without_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns, one for each distinct text."""
+    """The rows of ``docs`` that stay, with all their columns, one for each distinct text.
+
+    A null text is an empty one. Where rows repeat key and text, any one of them stays.
+    A null key stays only if all of its group are null. An empty table gives no rows."""
+    own, sha, own_sha = (unused(docs, n) for n in ("_own", "_sha", "_own_sha"))
     kept = duplicate_groups(docs, key, text).where("kept").select(
-        F.col(key).alias("_kept_key"), F.col("text_sha256").alias("_kept_sha")
+        F.col(key).alias(own), F.col("text_sha256").alias(own_sha)
     )
-    sha = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
-    rows = docs.withColumn("_sha", sha).join(
-        kept, F.col(key).eqNullSafe(F.col("_kept_key")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi"
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    rows = docs.withColumn(sha, F.sha2(whole, 256)).join(
+        kept, F.col(f"`{key}`").eqNullSafe(F.col(own)) & (F.col(sha) == F.col(own_sha)), "left_semi"
     )
-    return rows.dropDuplicates([key, "_sha"]).drop("_sha")
+    return rows.dropDuplicates([key, sha]).drop(sha)

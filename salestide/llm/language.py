@@ -28,6 +28,7 @@ BINS = 1 << 13
 NGRAMS = (1, 2, 3)
 #: Bound of the sample that the centroids are fitted on: rows for each language.
 SAMPLE_PER_LANGUAGE = 300
+MAX_LANGUAGES = 500
 CENTROIDS = 3
 ROUNDS = 12
 #: Share of a centroid's sample that lies within its rejection distance.
@@ -137,23 +138,31 @@ def fit(
     text: str = "text",
     lang: str = "lang",
     per_language: int = SAMPLE_PER_LANGUAGE,
+    max_languages: int = MAX_LANGUAGES,
 ) -> Model:
     """Learns from the rows where ``training`` holds, their language isn't null and
     their text has letters. The sample is, for each language, the ``per_language``
-    rows with the smallest hashes of their keys; equal keys are taken in any order."""
+    rows with the smallest hashes of their keys; equal keys are taken in any order. Only
+    the ``max_languages`` values with the most rows are learned (ties: those that sort
+    first), so that a column full of junk cannot outgrow the driver."""
     usable = docs.where(training & F.col(lang).isNotNull() & F.col(text).isNotNull())
     frequency, n = _document_frequencies(usable, text)
     idf = np.log((1 + n) / (1 + frequency)) + 1
 
+    plain = usable.select(F.col(f"`{lang}`").alias("_lang"), F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"))
+    # At most max_languages * per_language keys are broadcast.
+    common = plain.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").limit(max_languages)
     ids = (
-        usable.select(F.col(lang).alias("_lang"), F.col(key).alias("_key"))
+        plain.select("_lang", "_key")
+        .join(F.broadcast(common.select("_lang")), "_lang", "left_semi")
         .withColumn("_hash", F.xxhash64("_key"))
         .withColumn("_nth", F.row_number().over(Window.partitionBy("_lang").orderBy("_hash", "_key")))
         .where(F.col("_nth") <= per_language)
+        .select(F.col("_lang").alias("_l"), F.col("_key").alias("_k"), "_nth")
     )
-    sample = usable.join(
-        F.broadcast(ids), F.col(key).eqNullSafe(F.col("_key")) & (F.col(lang) == F.col("_lang"))
-    ).select("_lang", "_nth", F.col(text).alias("_text"))
+    sample = plain.join(
+        F.broadcast(ids), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_lang") == F.col("_l"))
+    ).select("_lang", "_nth", "_text")
 
     def cluster(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows[rows["_text"].map(has_letter)].sort_values("_nth")

@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from salestide.llm.tables import cut, in_order, saved, word_count
+from salestide.llm.tables import cut, in_order, saved, unused, word_count
 
 HASH_RANGES = 1 << 14
 SEED = 20_240_601
@@ -145,13 +145,14 @@ def mix(
 def mixed_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, all columns kept.
 
-    Keys must be unique among the rows with words; rows without words are not taken.
+    Rows without words are not taken. Rows with one key count as documents of their
+    own in the sizes, and all of them come as often as the one that is taken most.
     """
     taken = mix(docs, key=key, text=text, **options).where("taken > 0")
-    times = taken.select(
-        F.col(key).alias("_key"), (F.col("taken") / F.col("size")).cast("int").alias("_times")
-    ).dropDuplicates(["_key"])
-    rows = docs.join(times, F.col(key).eqNullSafe(F.col("_key")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(
-        *docs.columns
-    )
+    own, times, copy = (unused(docs, n) for n in ("_own", "_times", "_copy"))
+    often = F.max((F.col("taken") / F.col("size")).cast("int")).alias(times)
+    plan = taken.groupBy(F.col(f"`{key}`").alias(own)).agg(often)
+    rows = docs.join(plan, F.col(f"`{key}`").eqNullSafe(F.col(own)))
+    copies = F.when(word_count(F.col(f"`{text}`")) > 0, F.sequence(F.lit(1), F.col(times)))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return rows.select(*columns, F.explode(copies).alias(copy)).select(*columns)

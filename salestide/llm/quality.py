@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salestide.llm.tables import SEPARATORS, WORD, let, words_of
+from salestide.llm.tables import SEPARATORS, WORD, let, unused, words_of
 
 # The document-level base rules.
 SYMBOLS = "[#*$%&|<>]"
@@ -117,8 +117,10 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     return let(words, count).cast("long")
 
 
-def judged(docs: DataFrame, text: str = "text", max_lost: float = MAX_LOST) -> DataFrame:
-    """``docs`` with the struct column ``quality`` added (one of that name is replaced).
+def judged(
+    docs: DataFrame, text: str = "text", max_lost: float = MAX_LOST, name: str = "quality"
+) -> DataFrame:
+    """``docs`` with the struct column ``name`` added (one of that name is replaced).
 
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed;
     n_lines and n_lines_removed (lines with a word), lost_share (of characters in
@@ -173,14 +175,19 @@ def judged(docs: DataFrame, text: str = "text", max_lost: float = MAX_LOST) -> D
         )
 
     # One expression, so that the optimiser has nothing to compute twice.
-    others = [c for c in docs.columns if c != "quality"]
-    return docs.select(*others, let(seen, verdict).alias("quality"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != name]
+    return docs.select(*others, let(seen, verdict).alias(name))
 
 
 def cleaned(docs: DataFrame, text: str = "text", max_lost: float = MAX_LOST) -> DataFrame:
-    """The documents kept, their failing lines removed; other columns as they were."""
+    """The documents kept, their failing lines removed; other columns as they were.
+
+    Null and wordless texts are not kept. Rows are independent of each other, so equal
+    rows stay or go together. An empty table gives no rows."""
     # Exploding, not filtering: a filter would be pushed down and judge every text again.
-    kept = F.filter(F.array("quality"), lambda q: q["kept"])
-    judged_ = judged(docs, text, max_lost)
-    rows = judged_.select(*[c for c in docs.columns if c != "quality"], F.explode(kept).alias("_q"))
-    return rows.withColumn(text, F.col("_q")["clean_text"]).select(*docs.columns)
+    seen, one = unused(docs, "_seen"), unused(docs, "_one")
+    kept = F.filter(F.array(seen), lambda q: q["kept"])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = judged(docs, text, max_lost, seen).select(*columns, F.explode(kept).alias(one))
+    clean = F.col(one)["clean_text"].alias(text)
+    return rows.select(*[clean if c == text else F.col(f"`{c}`") for c in docs.columns])

@@ -12,6 +12,8 @@ points, end exclusive.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,22 +61,58 @@ def _pieces(text: Column, pattern: str) -> tuple[Column, Column]:
     )
 
 
+#: Arrays are put together in pieces of this many, so that none grows item by item.
+PIECE = 256
+
+
+def _running_piece(values: Column, start: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """``op`` of ``start`` and the values so far, for each of a few values."""
+    first = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def step(state: Column, value: Column) -> Column:
+        now = op(state["at"], value)
+        return F.struct(now.alias("at"), F.concat(state["out"], F.array(now)).alias("out"))
+
+    return F.aggregate(values, first, step, lambda state: state["out"])
+
+
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Running totals (or maxima, as ``op`` says) of an array of integers from 0 on.
+
+    Piece by piece: the total of each piece, running totals of those, and inside each
+    piece running totals from what came before. Copying what is there for each value
+    would cost the square of their number."""
+    def cut_up(whole: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(whole) / PIECE).cast("int") - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(whole, k * PIECE + 1, PIECE))
+
+    def inside(parts: Column) -> Column:
+        totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), op))
+        upto = _running_piece(totals, F.lit(0), op)
+        before = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(upto, k - 1))
+        return let(
+            F.transform(parts, lambda p, k: F.struct(p.alias("p"), before(k).alias("b"))),
+            lambda ps: F.flatten(F.transform(ps, lambda x: _running_piece(x["p"], x["b"], op))),
+        )
+
+    return let(let(values, cut_up), inside)
+
+
 def spans_of(text: Column, pattern: str) -> Column:
     """Array of (s, e, m): start, end and text of each match, leftmost first."""
     matches, between = _pieces(text, pattern)
 
     def placed(found: Column, gaps: Column) -> Column:
-        def step(state: Column, i: Column) -> Column:
-            start = state["at"] + F.length(F.get(gaps, i))
-            match = F.get(found, i)
-            end = start + F.length(match)
-            span = F.struct(start.alias("s"), end.alias("e"), match.alias("m"))
-            return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
-
-        nothing = F.from_json(F.lit("[]"), "array<struct<s:int,e:int,m:string>>")
-        first = F.struct(F.lit(0).alias("at"), nothing.alias("out"))
-        places = F.sequence(F.lit(0), F.size(found) - 1)
-        return F.aggregate(places, first, step, lambda state: state["out"])
+        widths = F.transform(found, lambda m, i: F.length(F.get(gaps, i)) + F.length(m))
+        return let(
+            running(widths, lambda a, b: a + b),
+            lambda ends: F.transform(
+                found,
+                lambda m, i: F.struct(
+                    (F.get(ends, i) - F.length(m)).alias("s"), F.get(ends, i).alias("e"), m.alias("m")
+                ),
+            ),
+        )
 
     none = F.from_json(F.lit("[]"), "array<struct<s:int,e:int,m:string>>")
     # Most texts have no match; for them neither array is built.
@@ -97,43 +135,68 @@ def base_spans(text: Column, name: str, pattern: str, group: int, least: int) ->
     return _kind(F.filter(spans_of(text, pattern), long_enough), name)
 
 
+#: The characters of candidates, and how their counts are packed: five bits for each,
+#: twelve to a long.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+COUNT_BITS, COUNTS_IN_LONG = 5, 12
+
+
 def peak_entropy(value: Column, window: int = WINDOW) -> Column:
     """Highest entropy, in bits for each character, of the windows of ``value``.
 
     With c the count of a character in the window, the entropy is
-    log2(w) - sum(c log2 c) / w. Moving on by one changes two of the sum's terms.
+    log2(w) - sum(c log2 c) / w. The counts of all characters go along with the window:
+    moving on by one takes one from the count of the character that leaves, adds one to
+    that of the one that enters, and changes their two terms of the sum. ``value``
+    consists of characters of ``ALPHABET``; the window is shorter than 32.
     """
 
     def term(c: Column) -> Column:
         return F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
 
-    def count(part: Column, character: Column) -> Column:
-        return F.length(part) - F.length(F.replace(part, character, F.lit("")))
+    def one(code: Column) -> Column:
+        return F.pow(F.lit(2.0), COUNT_BITS * (code % COUNTS_IN_LONG)).cast("long")
 
-    def first_sum(v: Column) -> Column:
-        head = F.substring(v, 1, window)
-        return F.aggregate(
-            F.array_distinct(F.split(head, "")),
-            F.lit(0.0),
-            lambda total, ch: total + F.when(ch == "", F.lit(0.0)).otherwise(term(count(head, ch))),
-        )
+    def changed(counts: Column, code: Column, sign: int) -> Column:
+        place = F.floor(code / COUNTS_IN_LONG)
+        return F.transform(counts, lambda w, k: F.when(k == place, w + sign * one(code)).otherwise(w))
 
-    def moved(v: Column, start: Column) -> Column:
-        def step(state: Column, i: Column) -> Column:
-            leaving, entering = F.substring(v, i, F.lit(1)), F.substring(v, i + window, F.lit(1))
-            stays = F.substring(v, i + 1, F.lit(window - 1))  # in the window before and after
-            out_, in_ = count(stays, leaving), count(stays, entering)
-            total = state["sum"] - term(out_ + 1) + term(out_) - term(in_) + term(in_ + 1)
-            return F.struct(total.alias("sum"), F.least(state["least"], total).alias("least"))
+    def count(counts: Column, code: Column) -> Column:
+        packed = F.get(counts, F.floor(code / COUNTS_IN_LONG).cast("int"))
+        return F.floor(packed / one(code)) % (1 << COUNT_BITS)
 
-        first = F.struct(start.alias("sum"), start.alias("least"))
+    def moved(codes: Column) -> Column:
+        def enter(state: Column, code: Column) -> Column:
+            c = count(state["counts"], code)
+            total = state["sum"] - term(c) + term(c + 1)
+            return F.struct(changed(state["counts"], code, 1).alias("counts"), total.alias("sum"))
+
+        def step(state: Column, i: Column) -> Column:
+            leaving = F.get(codes, i - 1)
+            gone = changed(state["counts"], leaving, -1)
+            c = count(state["counts"], leaving)
+            rest = F.struct(gone.alias("counts"), (state["sum"] - term(c) + term(c - 1)).alias("sum"))
+            return let(rest, lambda r: let(enter(r, F.get(codes, i + window - 1)), lambda n: F.struct(
+                n["counts"].alias("counts"), n["sum"].alias("sum"), F.least(state["least"], n["sum"]).alias("least")
+            )))
+
+        empty = F.array_repeat(F.lit(0).cast("long"), -(-len(ALPHABET) // COUNTS_IN_LONG))
+        start = F.aggregate(
+            F.slice(codes, 1, window), F.struct(empty.alias("counts"), F.lit(0.0).alias("sum")), enter
+        )
         moves = F.when(
-            F.length(v) > window, F.sequence(F.lit(1), F.length(v) - window)
+            F.size(codes) > window, F.sequence(F.lit(1), F.size(codes) - window)
         ).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(moves, first, step, lambda state: state["least"])
+        return let(start, lambda s: F.aggregate(
+            moves,
+            F.struct(s["counts"].alias("counts"), s["sum"].alias("sum"), s["sum"].alias("least")),
+            step,
+            lambda state: state["least"],
+        ))
 
-    least = let(value, lambda v: let(first_sum(v), lambda s: moved(v, s)))
-    return F.log2(F.lit(float(window))) - least / window
+    characters = F.filter(F.split(value, ""), lambda ch: ch != "")
+    codes = F.transform(characters, lambda ch: F.instr(F.lit(ALPHABET), ch) - 1)
+    return F.log2(F.lit(float(window))) - let(codes, moved) / window
 
 
 def entropy_spans(text: Column) -> Column:
@@ -176,34 +239,38 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
         ).alias("secrets"),
     )
 
-    def ordered(spans: Column) -> Column:
-        rank = F.create_map(*[F.lit(x) for k, n in enumerate([*kinds, "entropy"]) for x in (n, k)])
-        keyed = F.transform(
-            spans, lambda x: F.struct(x["s"].alias("s"), rank[x["kind"]].alias("r"), x["e"].alias("e"), x["kind"].alias("kind"))
-        )
+    s = F.col("secrets")
+    rank = {name: k for k, name in enumerate([*kinds, "entropy"])}
+
+    def ranked(name: str) -> Column:
         return F.transform(
-            F.sort_array(keyed), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))
+            s[name],
+            lambda x: F.struct(x["s"].alias("s"), F.lit(rank[name]).alias("r"), x["e"].alias("e"), x["kind"].alias("kind")),
         )
 
-    s = F.col("secrets")
-    base = F.concat(*[s[k] for k in kinds])
+    def split(every: Column) -> Column:
+        """An entropy span is covered if a base span that begins no later ends no sooner."""
+        def kept(reach: Column) -> Column:
+            return F.filter(every, lambda x, i: (x["r"] < len(kinds)) | (F.get(reach, i) < x["e"]))
+
+        ends = F.transform(every, lambda x: F.when(x["r"] < len(kinds), x["e"]).otherwise(0))
+        return let(running(ends, lambda a, b: F.greatest(a, b)), kept)
 
-    def uncovered(b: Column) -> Column:
-        return F.filter(
-            s["entropy"], lambda x: ~F.exists(b, lambda y: (y["s"] <= x["s"]) & (y["e"] >= x["e"]))
+    def plain(spans: Column) -> Column:
+        return F.transform(
+            spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))
         )
 
-    split = let(base, lambda b: F.struct(b.alias("base"), uncovered(b).alias("extra")))
-    found = found.withColumn("_split", split)
-    return found.withColumn(
-        "secrets",
-        F.struct(
+    def parts(every: Column) -> Column:
+        return F.struct(
             *[s[k].alias(k) for k in kinds],
-            F.col("_split")["extra"].alias("entropy"),
-            ordered(F.col("_split")["base"]).alias("base"),
-            ordered(F.concat(F.col("_split")["base"], F.col("_split")["extra"])).alias("all"),
-        ),
-    ).drop("_split")
+            plain(F.filter(every, lambda x: x["r"] == len(kinds))).alias("entropy"),
+            plain(F.filter(every, lambda x: x["r"] < len(kinds))).alias("base"),
+            plain(every).alias("all"),
+        )
+
+    every = F.array_sort(F.concat(*[ranked(k) for k in rank]))
+    return found.withColumn("secrets", let(let(every, split), parts))
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

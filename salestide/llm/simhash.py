@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salestide.llm.components import smallest_reachable
-from salestide.llm.tables import cut, saved
+from salestide.llm.tables import cut, saved, unused
 
 BITS = 64
 MAX_DISTANCE = 2
@@ -164,15 +164,14 @@ def links(distinct: DataFrame) -> DataFrame:
         .where("a < b")
         .distinct()
     )
-    return compared.unionByName(starred)
+    return compared.unionByName(starred).distinct()
 
 
 def near_duplicate_groups(
     docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE
 ) -> DataFrame:
-    """``key``, ``fingerprint`` (16 hexadecimal digits), ``component_id`` (smallest key
-    reachable over links, its own included) and ``n_links`` (different fingerprints
-    it links to directly, as found) for each row of ``docs``.
+    """``key``, ``fingerprint`` (16 hexadecimal digits) and ``component_id`` (smallest
+    key reachable over links, its own included) for each row of ``docs``.
 
     A null or wordless text has fingerprint zero and links like any other. Rows
     repeated with one key stay rows, in the same component. Null keys are left out
@@ -181,31 +180,40 @@ def near_duplicate_groups(
     rows = saved(fingerprints(docs, key, text, shingle), "fingerprints")
     distinct = cut(rows.groupBy("fp").agg(F.min(key).alias("_least")))
     found = cut(links(distinct))
-    degree = (
-        found.select(F.col("a").alias("fp"))
-        .unionByName(found.select(F.col("b").alias("fp")))
-        .groupBy("fp")
-        .agg(F.count("*").alias("n_links"))
-    )
     root = smallest_reachable(found)
     labels = distinct.join(root.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "_least", F.coalesce("root", "fp").alias("root")
     )
-    labels = cut(labels.join(degree, "fp", "left"))
+    labels = cut(labels)
     # Cut, so that the joins deal out both sides themselves and can split a hot key.
     least = cut(labels.groupBy("root").agg(F.min("_least").alias("component_id")))
-    labels = cut(
-        labels.join(least, "root").select(
-            "fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")
-        )
-    )
+    labels = cut(labels.join(least, "root").select("fp", "component_id"))
     return rows.join(labels, "fp").select(
-        key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links"
+        key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows with the smallest key of their component, all columns kept."""
-    groups = near_duplicate_groups(docs, key, text)
-    keep = groups.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_keep"))
-    return docs.join(keep, F.col(key).eqNullSafe(F.col("_keep")), "left_semi")
+    """The rows with the smallest key of their component, all columns kept.
+
+    Null and wordless texts are one component. Rows with that key in another component
+    are no such rows: where a key has several texts, each is judged by its own. Rows
+    that repeat key and text stay together. An empty table gives no rows."""
+    own, mark = unused(docs, "_own"), unused(docs, "_mark")
+    groups = near_duplicate_groups(docs, key, text).withColumnRenamed(key, own)
+    groups = cut(groups.select(own, "fingerprint", F.col(own).eqNullSafe(F.col("component_id")).alias("stays")))
+    same_key = F.col(f"`{key}`").eqNullSafe(F.col(own))
+    by_key = groups.groupBy(own).agg(F.min("stays").alias("all"), F.max("stays").alias("some")).where("some")
+    rows = docs.join(by_key.where("all").select(own), same_key, "left_semi")
+    several = cut(by_key.where("not all").select(own))
+    if several.isEmpty():
+        return rows
+
+    @F.pandas_udf("string")
+    def printed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: f"{fingerprint(t, SHINGLE):016x}")
+
+    left = groups.where("stays").join(several, own, "left_semi").select(own, F.col("fingerprint").alias(mark))
+    mixed = docs.join(several, same_key, "left_semi").withColumn(f"{mark}_own", printed(F.col(f"`{text}`")))
+    mixed = mixed.join(left, same_key & (F.col(f"{mark}_own") == F.col(mark)), "left_semi")
+    return rows.unionByName(mixed.drop(f"{mark}_own"))

@@ -65,6 +65,8 @@ class LibraryEncoder:
         self.tokenizer.no_padding()
         self.dtype = np.dtype(dtype)
         vocabulary = self.tokenizer.get_vocab()
+        if max(vocabulary.values()) > np.iinfo(self.dtype).max:
+            raise ValueError(f"the vocabulary has ids beyond {dtype}: choose '<u4'")
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.pieces: dict[str, bytes] = {}

@@ -7,8 +7,10 @@ between white space, not once for each occurrence.
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,36 @@ ADDED = {"<|startoftext|>": 49406, "<|endoftext|>": 49407}
 ADDED_SPLIT = re.compile("(" + "|".join(map(re.escape, ADDED)) + ")")
 
 
+@lru_cache(maxsize=1)
+def unassigned() -> re.Pattern:
+    """Finds characters that Python's Unicode tables don't know. The tokenizers library
+    has tables of its own, which may be newer."""
+    unknown = [unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)]
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], unknown, [0]])))
+    ranges = zip(edges[::2].tolist(), (edges[1::2] - 1).tolist())
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]")
+
+
+@lru_cache(maxsize=1)
+def _library() -> tuple:
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    plain = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+    return plain, pre_tokenizers.Split(Regex(WORDS.pattern), "removed", invert=True)
+
+
+def words_by_library(piece: str) -> list[str]:
+    """The words of a piece with characters that only the library's tables know."""
+    plain, split = _library()
+    found: list[str] = []
+    for part in ADDED_SPLIT.split(piece):
+        if part in ADDED:
+            found.append(part)
+        elif part:
+            found.extend(word for word, _ in split.pre_tokenize_str(plain.normalize_str(part)))
+    return found
+
+
 def normalised(piece: str) -> str:
     """NFC, then lower case character by character (no special final sigma)."""
     if piece.isascii():
@@ -52,8 +84,13 @@ def words_of_all(distinct: set[str]) -> dict[str, list[str]]:
     """The words of each piece. The pieces are normalised as one text: nothing
     combines across the line ends between them."""
     order = list(distinct)
-    plain = normalised("\n".join(order)).split("\n")
-    return dict(zip(order, map(words, order, plain)))
+    together = "\n".join(order)
+    plain = normalised(together).split("\n")
+    found = dict(zip(order, map(words, order, plain)))
+    if not together.isascii() and unassigned().search(together):
+        newer = [piece for piece in order if unassigned().search(piece)]
+        found.update((piece, words_by_library(piece)) for piece in newer)
+    return found
 
 
 def spelled(

@@ -30,10 +30,9 @@ def both(text):
     return ours, token_files._encoder(vocabulary(), "<u2").encode([text])[0].tolist()
 
 
-# Of characters newer than Python's Unicode tables, the library knows more.
-known = st.characters(exclude_categories=("Cs", "Cn"))
 pieces = st.one_of(
-    st.text(known, max_size=30),
+    st.text(st.characters(exclude_categories=("Cs",)), max_size=30),
+    st.text(alphabet="ab1 \u1c89\u1c8a\ua7da\ua7cb\U00010d50\U00010d70\U000105d2\u0307", max_size=12),
     st.text(alphabet="abcdefghijklmnopqrstuvwxyz'.,!?- ", max_size=60),
     st.text(alphabet="aABbΣσİıßéÀ́̇\x1c\x85  \n#", max_size=30),
     st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|", "|>", "don't", "we'll", "'s", "1234567890"]),
@@ -48,6 +47,14 @@ def test_same_ids_as_the_library(text):
     assert both(text) == (expected, expected)
 
 
+def test_same_ids_for_every_character(library):
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 4096):
+        text = " ".join(f"ab{chr(c)}cd {chr(c)}1{chr(c)}." for c in points[at : at + 4096])
+        expected = ids_by_library(library, text)
+        assert both(text) == (expected, expected)
+
+
 def test_documents(spark, sample, library):
     found = bpe.round_trip(sample, vocabulary(), keep_ids=True).collect()
     texts = {r["doc_id"]: r["text"] for r in sample.collect()}

@@ -497,3 +497,15 @@ def test_perfect_hash_is_minimal_and_survives_writing():
     perfect = token_files.PerfectHash.from_bytes(token_files.PerfectHash.of(hashes).to_bytes())
     assert perfect.size == 20_000
     assert sorted(perfect.slots(hashes).tolist()) == list(range(20_000))
+
+
+def test_long_candidates_and_many_matches(spark):
+    """Both used to cost the square of their number."""
+    import random
+
+    rng = random.Random(1)
+    letters = secret_scan.ALPHABET[:62]
+    rows = [(1, "".join(rng.choice(letters) for _ in range(150_000))), (2, "token=abcdef12 " * 20_000)]
+    got = {r.doc_id: r for r in secret_scan.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].spans == "entropy:0:150000" and got[2].n_assign == 20_000
+    assert got[2].spans.endswith(f"assign:{15 * 19_999}:{15 * 19_999 + 14}")
