@@ -166,8 +166,8 @@ GROUP BY Region
 ORDER BY {SUM} DESC NULLS LAST, Region NULLS FIRST {limit}"""
 
 
-def trend(label: str) -> str:
-    return f"""WITH {FACT}
+def trend(label: str, ctes: str = "") -> str:
+    return f"""WITH {ctes or FACT}
 SELECT {label} AS period, {MEASURES}
 FROM sales WHERE {RANGE} GROUP BY 1 ORDER BY 1"""
 
@@ -202,6 +202,20 @@ catalog AS (SELECT {PRODUCT_COLUMNS} FROM {first_rows("typed", "ProductID")})"""
 STORED_FIRST = f"line_status, {PLACE}"  # F sorts before O
 NEW_ONLY = "line_status = 'O'"
 
+# Both loads stored one after the other, and a range that cuts months.
+MID_MONTH = "DateOfSale BETWEEN DATE '1996-02-10' AND DATE '1998-05-17'"
+STORED = f"""{EXPORT},
+sales AS (
+  SELECT OrderID, ProductID, CustomerID, Region, DateOfSale, QuantitySold, UnitPrice, Discount,
+         ShippingCost
+  FROM {first_rows("accepted", "OrderID", STORED_FIRST)}),
+catalog AS (SELECT {PRODUCT_COLUMNS} FROM {first_rows("typed", "ProductID", STORED_FIRST)})"""
+
+
+def of_stored(query: str) -> str:
+    return query.replace(RANGE, MID_MONTH)
+
+
 
 # The export with numbers too large and cells beyond the header, by the same rules.
 NO_KEYS = "(OrderID IS NULL OR ProductID IS NULL OR CustomerID IS NULL)"
@@ -320,6 +334,14 @@ FROM typed""",
     + first_rows("accepted", "OrderID", STORED_FIRST),
     "compacted_orders": f"WITH {EXPORT}\nSELECT {ORDER_COLUMNS} FROM "
     + first_rows("accepted", "OrderID", STORED_FIRST),
+    "maintained_total": of_stored(f"""WITH {STORED}
+SELECT COALESCE(CAST({SUM} AS DOUBLE), 0.0) AS total_revenue FROM sales WHERE {RANGE}"""),
+    "maintained_by_product": of_stored(by_product(STORED)),
+    "maintained_by_category": of_stored(by_category(STORED)),
+    "maintained_by_region": of_stored(by_region(STORED)),
+    "maintained_trends_monthly": of_stored(trend("STRFTIME(DateOfSale, '%Y-%m')", STORED)),
+    "maintained_trends_yearly": of_stored(trend("STRFTIME(DateOfSale, '%Y')", STORED)),
+    "maintained_summary": of_stored(summary(STORED)),
     "landed_orders": f"""WITH {EXPORT}
 SELECT {ORDER_COLUMNS} FROM (
   SELECT * REPLACE (CONCAT_WS('-', l_orderkey, l_linenumber, l_partkey, CAST(l_shipdate AS DATE)) AS OrderID)

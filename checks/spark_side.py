@@ -23,6 +23,7 @@ from salestide.operators.star import (
     type_rows,
 )
 from salestide.params import check_range
+from salestide.plans import maintained
 from salestide.plans.load_report import accepted_keys, quality_columns
 from salestide.plans.load_report import load_report as load_report_plan
 from salestide.plans.refresh import compact, keys_fit, load_rows
@@ -45,6 +46,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 RANGE = ("1996-01-01", "1998-12-31")
 EMPTY_RANGE = ("2031-01-01", "2031-12-31")
+MID_MONTH = ("1996-02-10", "1998-05-17")
 
 
 # -- reports on the full tables ---------------------------------------------
@@ -310,6 +312,20 @@ def compacted_orders(spark: SparkSession, folder: str) -> DataFrame:
     return plain(store.orders().drop("SaleMonth"))
 
 
+def _maintained(plan, *args) -> Query:
+    """A report from the sums that two loads keep, over a range that begins and ends
+    inside of months."""
+
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        return plan(_two_loads(spark, folder).maintained(), *MID_MONTH, *args)
+
+    return query
+
+
+def _maintained_summary(sales, start: str, end: str) -> DataFrame:
+    return flatten_summary(maintained.revenue_summary(sales, start, end))
+
+
 def landed_orders(spark: SparkSession, folder: str) -> DataFrame:
     """The export as CSV files in a landing folder, taken in by the stream. Each row is
     an order of its own, so that the order of files doesn't matter; some product names
@@ -400,6 +416,13 @@ QUERIES: dict[str, Query] = {
     "load_report": load_report,
     "append_by_key_index": append_by_key_index,
     "compacted_orders": compacted_orders,
+    "maintained_total": _maintained(maintained.total_revenue),
+    "maintained_by_product": _maintained(maintained.revenue_by_product),
+    "maintained_by_category": _maintained(maintained.revenue_by_category),
+    "maintained_by_region": _maintained(maintained.revenue_by_region),
+    "maintained_trends_monthly": _maintained(maintained.revenue_trends),
+    "maintained_trends_yearly": _maintained(maintained.revenue_trends, "yearly"),
+    "maintained_summary": _maintained(_maintained_summary),
     "landed_orders": landed_orders,
     "quarantined_rows": quarantined_rows,
     "orders_beside_quarantine": orders_beside_quarantine,

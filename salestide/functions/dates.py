@@ -33,6 +33,11 @@ def sale_month(date: Column | str) -> Column:
     return F.trunc(date, "month")
 
 
+def date_value(date: dt.date) -> Column:
+    """A date as literal. It goes by ISO text, as years before 1000 need their zeros."""
+    return F.lit(date.isoformat()).cast("date")
+
+
 def in_range(orders: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     """Orders sold from start to end, both days included.
 
@@ -43,9 +48,10 @@ def in_range(orders: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     sold_on = F.col("DateOfSale")
     if not isinstance(orders.schema["DateOfSale"].dataType, T.DateType):
         sold_on = sold_on.cast("date")
-    kept = sold_on.between(F.lit(start), F.lit(end))
+    kept = sold_on.between(date_value(start), date_value(end))
     if SALE_MONTH in orders.columns:
-        months = F.col(SALE_MONTH).between(F.lit(start.replace(day=1)), F.lit(end.replace(day=1)))
+        first, last = (date_value(date.replace(day=1)) for date in (start, end))
+        months = F.col(SALE_MONTH).between(first, last)
         kept = months & kept
     return orders.where(kept)
 

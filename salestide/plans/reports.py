@@ -36,7 +36,12 @@ def revenue_by_product(
 ) -> DataFrame:
     """Per product id and name, best first. Orders without a product row are left out."""
     start, end = check_range(start_date, end_date)
-    sold = with_catalog(per_product(in_range(orders, start, end)), products, "ProductName")
+    return ranked_products(per_product(in_range(orders, start, end)), products, limit)
+
+
+def ranked_products(sums: DataFrame, products: DataFrame, limit: int | None = None) -> DataFrame:
+    """The product report, from the measures of each product id."""
+    sold = with_catalog(sums, products, "ProductName")
     return rank_by_revenue(sold, "ProductID", limit).select(
         "ProductID",
         "ProductName",
@@ -59,7 +64,12 @@ def revenue_by_category(
     of products sold is a plain count: no distinct aggregate over the orders.
     """
     start, end = check_range(start_date, end_date)
-    sold = with_catalog(per_product(in_range(orders, start, end)), products, "Category")
+    return ranked_categories(per_product(in_range(orders, start, end)), products, limit)
+
+
+def ranked_categories(sums: DataFrame, products: DataFrame, limit: int | None = None) -> DataFrame:
+    """The category report, from the measures of each product id."""
+    sold = with_catalog(sums, products, "Category")
     categories = sold.groupBy("Category").agg(
         F.sum("revenue").alias("revenue"),
         F.sum("total_quantity_sold").alias("total_quantity_sold"),
@@ -88,6 +98,11 @@ def revenue_by_region(
     regions = sold.groupBy("Region").agg(
         *measures(sold), F.count_distinct("CustomerID").alias("unique_customers")
     )
+    return ranked_regions(regions, limit)
+
+
+def ranked_regions(regions: DataFrame, limit: int | None = None) -> DataFrame:
+    """The region report, from the measures and customers of each region."""
     return rank_by_revenue(regions, "Region", limit).select(
         "Region",
         as_amount("revenue").alias("revenue"),
@@ -110,6 +125,11 @@ def revenue_trends(
     periods = sold.groupBy(period_start("DateOfSale", period).alias("first_day")).agg(
         *measures(sold)
     )
+    return labelled_periods(periods, period)
+
+
+def labelled_periods(periods: DataFrame, period: str) -> DataFrame:
+    """The trend report, from the measures of each period's first day."""
     return periods.orderBy("first_day").select(
         period_label("first_day", period).alias("period"),
         as_amount("revenue").alias("revenue"),

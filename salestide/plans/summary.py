@@ -35,6 +35,11 @@ def revenue_summary(
         .groupBy("ProductID", "Region")
         .agg(total_revenue_expr().alias("cell_revenue"))
     )
+    return summarised(cells, products)
+
+
+def summarised(cells: DataFrame, products: DataFrame) -> DataFrame:
+    """The summary, from ``cell_revenue`` of each (ProductID, Region)."""
     catalog = products.select("ProductID", "ProductName", "Category", F.lit(True).alias("listed"))
     matched = cells.join(catalog, "ProductID", "left").select(
         "*", F.coalesce("listed", F.lit(False)).alias("in_catalog")

@@ -94,6 +94,20 @@ ORDERS = T.StructType(
 SALE_MONTH = "SaleMonth"
 STORED_ORDERS = T.StructType([*ORDERS.fields, T.StructField(SALE_MONTH, T.DateType())])
 
+# Maintained sums of stored orders, one row for each month, product and region of a run;
+# and its buyers: each customer once for each month and region.
+CELLS = T.StructType(
+    [
+        _text("ProductID"),
+        _text("Region"),
+        T.StructField("revenue", T.DecimalType(38, 13)),
+        T.StructField("total_quantity_sold", T.DecimalType(22, 3)),
+        T.StructField("total_orders", T.LongType()),
+        T.StructField(SALE_MONTH, T.DateType()),
+    ]
+)
+BUYERS = T.StructType([_text("Region"), _text("CustomerID"), T.StructField(SALE_MONTH, T.DateType())])
+
 # Rows set aside by a load: where they stood, why, and their cells as written.
 REJECTED = T.StructType(
     [
