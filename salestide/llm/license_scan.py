@@ -1,7 +1,9 @@
 """Licences of files: cosine to templates, then inheritance from directories.
 
 Files that talk about a licence are compared with a fixed set of templates, as sparse
-TF-IDF vectors of words and word pairs. Licence files (by name) stand for their
+TF-IDF vectors of words and word pairs. Compared are licence files as a whole and by
+paragraph, blocks of comment lines, and single lines. Where a notice names a version,
+a template of another version is none of its. Licence files (by name) stand for their
 directory. A file without a licence of its own takes that of the nearest directory
 above it that has one: every file and every directory above it is one row, and the
 rows are joined on the path.
@@ -24,11 +26,40 @@ TEMPLATES = (
         "apache.org/licenses/LICENSE-2.0",
     ),
     ("MIT", "Released under the MIT License."),
+    ("MIT", "Licensed under the MIT License."),
     (
         "MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this "
         "software and associated documentation files, to deal in the Software without restriction",
     ),
+    (
+        "MIT",
+        "MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of "
+        "this software and associated documentation files (the \"Software\"), to deal in the Software "
+        "without restriction, including without limitation the rights to use, copy, modify, merge, "
+        "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to "
+        "whom the Software is furnished to do so, subject to the following conditions: The above "
+        "copyright notice and this permission notice shall be included in all copies or substantial "
+        "portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, "
+        "EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS "
+        "FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT "
+        "HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, "
+        "TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+        "DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or "
+        "without fee is hereby granted, provided that the above copyright notice and this permission "
+        "notice appear in all copies.",
+    ),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    (
+        "GPL-2.0",
+        "This program is free software; you can redistribute it and/or modify it under the terms "
+        "of the GNU General Public License as published by the Free Software Foundation; either "
+        "version 2 of the License, or (at your option) any later version.",
+    ),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     (
         "GPL-3.0",
@@ -42,13 +73,44 @@ TEMPLATES = (
         "Redistribution and use in source and binary forms, with or without modification, are "
         "permitted provided that the following conditions are met",
     ),
+    (
+        "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted "
+        "provided that the following conditions are met: 1. Redistributions of source code must retain "
+        "the above copyright notice, this list of conditions and the following disclaimer. 2. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of "
+        "conditions and the following disclaimer in the documentation and/or other materials provided "
+        "with the distribution.",
+    ),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted "
+        "provided that the following conditions are met: 1. Redistributions of source code must retain "
+        "the above copyright notice, this list of conditions and the following disclaimer. 2. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of "
+        "conditions and the following disclaimer in the documentation and/or other materials provided "
+        "with the distribution. 3. Neither the name of the copyright holder nor the names of its "
+        "contributors may be used to endorse or promote products derived from this software without "
+        "specific prior written permission.",
+    ),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("proprietary", "All rights reserved."),
 )
-MENTION = r"(?i)licen[sc]ed?\b|all rights reserved|permission is hereby granted|redistribution and use"
+MENTION = (
+    r"(?i)licen[sc]ed?\b|all rights reserved|permission is hereby granted|redistribution and use"
+    r"|permission to use, copy"
+)
+# A licence is not a notice's if that has the second pattern and lacks the first.
+DECISIVE = (
+    ("GPL-2.0", r"(?i)\b(?:version|v\.?)\s*2|GPL-?2", r"(?i)\b(?:version|v\.?)\s*3|GPL-?3"),
+    ("GPL-3.0", r"(?i)\b(?:version|v\.?)\s*3|GPL-?3", r"(?i)\b(?:version|v\.?)\s*2|GPL-?2"),
+    ("BSD-2-Clause", r"(?!)", r"(?i)neither the names? of|BSD-?3|3-Clause"),
+)
+NO_LICENCE = "proprietary"  # counts where nothing else is stated
+COMMENT = r"[ \t]*(?:#|//|/?\*|;|--|<!--)"
 LICENCE_FILE = r"(?i)(?:^|/)(?:licen[sc]e|copying|notice|unlicense)(?:[.-][^/]*)?\z"
 MIN_COSINE = 0.6
 
@@ -74,18 +136,33 @@ def _counted(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def notices(files: DataFrame, text: str = "text", path: str = "path") -> DataFrame:
-    """Rows of ``files`` that may state a licence, with the lines that do in
-    ``_notice``: each mentioning line, or the whole text of a licence file."""
+    """Rows of ``files`` that may state a licence, with what may do so in ``_notice``:
+    the whole text of a licence file and each block of comment lines (``_part`` 0), and
+    each paragraph of a licence file and each line that mention one (``_part`` 1)."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(whole, r"\n", -1), lambda x: x.rlike(MENTION))
     named = F.coalesce(F.col(path), F.lit("")).rlike(LICENCE_FILE)
+    # Lines that are no comment become empty, so that blocks of comments are paragraphs.
+    comments = F.regexp_replace(whole, rf"(?m)^(?!{COMMENT}).+$", "")
+    several = F.when(whole.rlike(rf"(?m)^{COMMENT}"), F.split(comments, r"\n{2,}", -1)).otherwise(F.array())
+
+    def stating(parts: Column, part: int) -> Column:
+        return F.transform(
+            F.filter(parts, lambda x: x.rlike(MENTION)), lambda x: F.struct(F.lit(part).alias("p"), x.alias("n"))
+        )
+
+    lines = stating(F.split(whole, r"\n", -1), 1)
+    paragraphs = stating(F.split(whole, r"\n[ \t\r]*\n", -1), 1)
+    all_of_it = F.array(F.struct(F.lit(0).alias("p"), whole.alias("n")))
     found = files.where(named | whole.rlike(MENTION))
-    return found.withColumn("_notice", F.explode(F.when(named, F.array(whole)).otherwise(lines)))
+    parts = F.when(named, F.concat(all_of_it, paragraphs)).otherwise(F.concat(stating(several, 0), lines))
+    taken = found.withColumn("_notice", F.explode(F.array_distinct(parts)))
+    return taken.withColumn("_part", F.col("_notice.p")).withColumn("_notice", F.col("_notice.n"))
 
 
 def matched(files: DataFrame, key: str, text: str = "text", path: str = "path") -> DataFrame:
     """``_key``, ``licence``, ``cosine``: the best template of each file, if its cosine
-    is 0.6 or more. Ties go to the licence that sorts first.
+    is 0.6 or more. Whole licence files and blocks go before paragraphs and lines, and
+    any licence before ``NO_LICENCE``. Ties go to the licence that sorts first.
 
     Distinct notices are compared, not files: a notice that a third of all files carry
     is one row. Weights come from all files' notices; terms that no template has count
@@ -93,13 +170,15 @@ def matched(files: DataFrame, key: str, text: str = "text", path: str = "path")
     """
     spark = files.sparkSession
     stated = saved(
-        notices(files, text, path).select(F.col(key).alias("_key"), "_notice"), "licence-notices"
+        notices(files, text, path).select(F.col(key).alias("_key"), "_notice", "_part"), "licence-notices"
     )
     distinct = stated.groupBy("_notice").agg(F.count("*").alias("files"))
     distinct = distinct.withColumn("_id", F.sha2("_notice", 256))
     total = stated.agg(F.count("*")).first()[0]
 
     templates = _template_rows(spark)
+    # Each notice becomes many terms, so notices are dealt out before they are cut up.
+    distinct = distinct.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_id")
     counted = _counted(distinct.select("_id", "files", "_notice"), "_id", "files")
     counted = saved(counted, "licence-terms")
     seen = counted.groupBy("term").agg(F.sum("files").alias("df"))
@@ -133,20 +212,34 @@ def matched(files: DataFrame, key: str, text: str = "text", path: str = "path")
     )
     cosine = F.round(F.col("dot") / (F.col("length") * F.col("t_length")), 9)
     scored = dots.join(F.broadcast(t_lengths), ["template", "licence"]).join(lengths, "_id")
+    near = scored.select("_id", "licence", cosine.alias("cosine")).where(F.col("cosine") >= MIN_COSINE)
     best = (
-        scored.select("_id", "licence", cosine.alias("cosine"))
-        .where(F.col("cosine") >= MIN_COSINE)
+        near.join(distinct.select("_id", "_notice"), "_id")
+        .where(~_barred())
         .groupBy("_id")
-        .agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col("licence").alias("l"))).alias("b"))
+        .agg(F.min(F.struct(*_rank(), F.col("licence").alias("l"))).alias("b"))
     )
     per_file = stated.withColumn("_id", F.sha2("_notice", 256)).join(best, "_id")
+    rank = F.struct(F.col("b.late").alias("late"), "_part", F.col("b.c").alias("c"), F.col("b.l").alias("l"))
     return (
         per_file.groupBy("_key")
-        .agg(F.min("b").alias("b"))
+        .agg(F.min(rank).alias("b"))
         .select("_key", F.col("b.l").alias("licence"), (-F.col("b.c")).alias("cosine"))
     )
 
 
+def _rank() -> list[Column]:
+    return [(F.col("licence") == NO_LICENCE).alias("late"), (-F.col("cosine")).alias("c")]
+
+
+def _barred() -> Column:
+    """Does the notice name another version than the licence's?"""
+    notice, out = F.col("_notice"), F.lit(False)
+    for licence, own, other in DECISIVE:
+        out = out | ((F.col("licence") == licence) & notice.rlike(other) & ~notice.rlike(own))
+    return out
+
+
 def _template_rows(spark: SparkSession) -> DataFrame:
     rows = [(i, name, text) for i, (name, text) in enumerate(TEMPLATES)]
     return spark.createDataFrame(rows, "template int, licence string, _notice string")

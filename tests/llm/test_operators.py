@@ -418,6 +418,45 @@ def test_licences(spark):
     }
 
 
+def whole_template(name):
+    return max((text for licence, text in license_scan.TEMPLATES if licence == name), key=len)
+
+
+def test_whole_licences_and_versions(spark):
+    """Whole texts, notices over several lines, and versions of one family."""
+    gpl = (
+        "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the "
+        "GNU General Public License as published by\n# the Free Software Foundation; either version {} of the "
+        "License.\n\nimport sys\n"
+    )
+    mit, three = whole_template("MIT"), whole_template("BSD-3-Clause")
+    two = whole_template("BSD-2-Clause")
+    apache = (
+        "/*\n * Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file "
+        "except in compliance with the License.\n * You may obtain a copy of the License at\n *\n"
+        " *     http://www.apache.org/licenses/LICENSE-2.0\n */\nint main;\n"
+    )
+    files = [
+        ("MIT", "p/LICENSE", f"Copyright (c) 2020 Ann Other\n\n{mit}\n"),
+        ("MIT", "a/x.py", "All rights reserved. Licensed under the MIT License."),
+        ("MIT", "b/LICENSE", f"MIT\n\nCopyright 2021 B. All rights reserved.\n\n{mit}"),
+        ("GPL-2.0", "c/x.py", gpl.format(2)),
+        ("GPL-3.0", "d/x.py", gpl.format(3)),
+        ("GPL-2.0", "e/x.py", "Licensed under the GNU General Public License, version 2."),
+        ("GPL-3.0", "f/x.py", "Licensed under the GNU General Public License, version 3."),
+        ("BSD-2-Clause", "g/LICENSE", f"Copyright 2019, Sea\n\n{two}"),
+        ("BSD-3-Clause", "h/LICENSE", f"Copyright 2018, Sea. All rights reserved.\n\n{three}"),
+        ("Apache-2.0", "i/x.c", apache),
+        ("ISC", "j/LICENSE", whole_template("ISC")),
+        ("proprietary", "k/x.py", "All rights reserved."),
+        (None, "l/x.py", "#\n" * 30000 + "word " * 30000),
+    ]
+    rows = [(i, path, text) for i, (_, path, text) in enumerate(files)]
+    frame = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r["doc_id"]: r["licence"] for r in license_scan.licensed(frame).collect()}
+    assert got == {i: licence for i, (licence, _, _) in enumerate(files)}
+
+
 def reference_cosine(frame):
     """All notices against all templates, in plain Python."""
 
@@ -427,10 +466,19 @@ def reference_cosine(frame):
         return Counter(words) + Counter(f"{a} {b}" for a, b in zip(words, words[1:]))
 
     mention = re.compile(license_scan.MENTION)
-    stated = [
-        (key, line) for key, text in texts(frame) for line in (text or "").split("\n") if mention.search(line)
-    ]
-    seen = Counter(t for _, line in stated for t in terms(line))
+    comment = re.compile(r"[ \t]*(#|//|/?\*|;|--|<!--)")
+    stated = []
+    for key, text in texts(frame):
+        lines, block = (text or "").split("\n"), []
+        found = {(1, line) for line in lines if mention.search(line)}
+        for line in [*lines, ""]:
+            if comment.match(line):
+                block.append(line)
+            else:
+                found.add((0, "\n".join(block)))
+                block = []
+        stated += [(key, part, notice) for part, notice in found if mention.search(notice)]
+    seen = Counter(t for _, _, line in stated for t in terms(line))
     for _, text in license_scan.TEMPLATES:
         seen.update(set(terms(text)))
     total = 1 + len(stated) + len(license_scan.TEMPLATES)
@@ -439,16 +487,18 @@ def reference_cosine(frame):
         return {t: n * (math.log(total / (1 + seen[t])) + 1) for t, n in terms(text).items()}
 
     out = {}
-    for key, line in stated:
+    for key, part, line in stated:
         v = vector(line)
         for name, text in license_scan.TEMPLATES:
             w = vector(text)
             dot = sum(v[t] * w.get(t, 0) for t in v)
             norm = math.sqrt(sum(x * x for x in v.values()) * sum(x * x for x in w.values()))
             cosine = round(dot / norm, 9)
-            if cosine >= license_scan.MIN_COSINE:
-                out[key] = min(out.get(key, (0, "")), (-cosine, name))
-    return {k: (name, -c) for k, (c, name) in out.items()}
+            barred = any(n == name and re.search(b, line) and not re.search(a, line) for n, a, b in license_scan.DECISIVE)
+            if cosine >= license_scan.MIN_COSINE and not barred:
+                rank = (name == "proprietary", part, -cosine, name)
+                out[key] = min(out.get(key, rank), rank)
+    return {k: (name, -c) for k, (_, _, c, name) in out.items()}
 
 
 def test_licence_cosines(sample):
