@@ -22,24 +22,36 @@ WINDOW = 3
 
 # Line rules.
 MAX_LOST = 0.5
-NAVIGATION_MARK = r"^[|>»›•·]+\z"
+NAVIGATION_MARK = "[|>»›•·]+"
 BOILERPLATE = (
     r"(?i)\b(?:javascript|cookies?|privacy policy|terms of (?:use|service)|all rights reserved|"
-    r"subscribe (?:now|to)|sign (?:in|up)|log ?in|click here|read more|share (?:this|on)|"
-    r"lorem ipsum)\b"
+    r"subscribe (?:now|to)|sign (?:in|up)|log ?in|click here|read more|share (?:this|on)|lorem ipsum|"
+    r"alle rechte vorbehalten|datenschutzerkl[äÄ]rung|nutzungsbedingungen|hier klicken|weiterlesen|"
+    r"jetzt abonnieren|tous droits r[éÉ]serv[éÉ]s|politique de confidentialit[éÉ]|mentions l[éÉ]gales|"
+    r"cliquez ici|lire la suite|se connecter|todos los derechos reservados|pol[íÍ]tica de privacidad|"
+    r"aviso legal|haga clic aqu[íÍ]|leer m[áÁ]s|iniciar sesi[óÓ]n)(?:[^\w]|\z)"
 )
 BOILERPLATE_MAX_WORDS = 20
-SHOUTED_WORD = r"[!?]{2,}\z"
+SHOUTED_WORD = "[!?]{2,}"
 END_MARK = r"[.!?:;…。！？\"'”’»)\]|][\x20\x09\x0B-\x0D]*\z"
 SHORT_LINE_WORDS = 4
+# A short line of one of these forms is a list item, a heading, or indented or ends like code.
+SHORT_BUT_KEPT = (
+    r"^(?:[\x20\x09]*(?:[-*+•–]|\(?[0-9]{1,3}[.)]|\(?[A-Za-z][.)])[\x20\x09]+[^\x20\x09-\x0D]"
+    r"|#{1,6}[\x20\x09]+[^\x20\x09-\x0D]"
+    r"|(?:\x20\x20|\x09)[\x20\x09]*[A-Za-z_@(){}])"
+    r"|[{}(;,=][\x20\x09\x0B-\x0D]*\z"
+)
 
 
 def _matches(text: Column, pattern: str) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
 
 
-def _words_like(line: Column, pattern: str) -> Column:
-    return F.size(F.filter(words_of(line), lambda w: w.rlike(pattern)))
+def _at_least(line: Column, n: int) -> Column:
+    """Has the line ``n`` words or more? Reads no further than the last of them."""
+    word, space = f"[^{SEPARATORS}]", f"[{SEPARATORS}]"
+    return line.rlike(f"^{space}*+(?:{word}++{space}++){{{n - 1}}}{word}")
 
 
 def line_passes(line: Column) -> Column:
@@ -48,16 +60,24 @@ def line_passes(line: Column) -> Column:
     Navigation: separator marks standing alone, at least two and one for every four
     words. Boilerplate: a short line with a stock phrase. Punctuation: doubled
     exclamation or question marks on every other word, as many symbols as words (and
-    four at least), or a line of fewer than four words that doesn't end like a sentence.
+    four at least), or a line of fewer than four words that doesn't end like a sentence
+    and is no list item, marked heading or code.
+
+    The line must hold a word. Words are counted only where a rule's other half holds.
     """
+    stop = f"(?![^{SEPARATORS}])"
     words = _matches(line, WORD)
-    marks = _words_like(line, NAVIGATION_MARK)
-    navigation = (marks >= 2) & (marks * 4 >= words)
-    boilerplate = (words <= BOILERPLATE_MAX_WORDS) & line.rlike(BOILERPLATE)
-    shouting = _words_like(line, SHOUTED_WORD) * 2 >= words
-    symbols = _matches(line, SYMBOLS) >= F.greatest(words, F.lit(SHORT_LINE_WORDS))
-    fragment = (words < SHORT_LINE_WORDS) & ~line.rlike(END_MARK)
-    return ~(navigation | boilerplate | shouting | symbols | fragment)
+    marks = _matches(line, f"(?={NAVIGATION_MARK})(?<![^{SEPARATORS}]){NAVIGATION_MARK}{stop}")
+    shouted = _matches(line, f"{SHOUTED_WORD}{stop}")
+    symbols = _matches(line, SYMBOLS)
+    navigation = line.rlike(NAVIGATION_MARK) & let(marks, lambda n: (n >= 2) & (n * 4 >= words))
+    boilerplate = ~_at_least(line, BOILERPLATE_MAX_WORDS + 1) & line.rlike(BOILERPLATE)
+    shouting = let(shouted, lambda n: (n >= 1) & (n * 2 >= words))
+    noise = let(symbols, lambda n: (n >= SHORT_LINE_WORDS) & (n >= words))
+    fragment = (
+        ~_at_least(line, SHORT_LINE_WORDS) & ~line.rlike(END_MARK) & ~line.rlike(SHORT_BUT_KEPT)
+    )
+    return ~(navigation | boilerplate | shouting | noise | fragment)
 
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:

@@ -168,10 +168,11 @@ QUERIES: dict[str, Query] = {
 _IN_DUCKDB = {
     "word": WORD,
     "symbols": quality.SYMBOLS,
-    "mark": quality.NAVIGATION_MARK,
+    "mark": f"^{quality.NAVIGATION_MARK}\\z",
     "boilerplate": quality.BOILERPLATE,
-    "shouted": quality.SHOUTED_WORD,
+    "shouted": f"{quality.SHOUTED_WORD}\\z",
     "end": quality.END_MARK,
+    "kept": quality.SHORT_BUT_KEPT,
 }
 
 
@@ -203,7 +204,8 @@ WITH d AS (
     OR (len(ws) <= {quality.BOILERPLATE_MAX_WORDS} AND regexp_matches(l, {p["boilerplate"]}))
     OR {like(p["shouted"])} * 2 >= len(ws)
     OR len(regexp_extract_all(l, {p["symbols"]})) >= greatest(len(ws), {quality.SHORT_LINE_WORDS})
-    OR (len(ws) < {quality.SHORT_LINE_WORDS} AND NOT regexp_matches(l, {p["end"]})))
+    OR (len(ws) < {quality.SHORT_LINE_WORDS} AND NOT regexp_matches(l, {p["end"]})
+        AND NOT regexp_matches(l, {p["kept"]})))
   GROUP BY doc_id
 ), counted AS (
   SELECT d.doc_id, len(ws)::BIGINT AS n_words,

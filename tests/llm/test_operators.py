@@ -117,6 +117,21 @@ def test_quality_lines(spark):
     assert not two["kept"] and not two["base_failed"]
 
 
+def test_short_lines_that_stay_and_stock_phrases(spark):
+    stay = [
+        "# Heading", "### Two words", "- item", "* other item", "• third", "1. first", "(b) second", "12) last",
+        "  return x", "\tpass", "def f(x):", "if (a) {", "x = f(", "A, b,", "Yes.", "one two three four",
+        "Mentions of cookiecutters everywhere",
+    ]
+    go = [
+        "Home", "Main menu", "#Heading", "-item", "1.first", "Read more", "Alle Rechte vorbehalten.",
+        "Tous droits réservés.", "TOUS DROITS RÉSERVÉS !", "Política de privacidad.", "Hier klicken, um mehr zu sehen.",
+        "a » b » c", "What?! No!! Why??", "# $ % & *",
+    ]
+    docs = spark.createDataFrame([(1, "\n".join(stay + go))], "doc_id long, text string")
+    assert quality.judged(docs).first()["quality"]["clean_text"].split("\n") == stay
+
+
 @pytest.mark.parametrize("name", ["awkward", "sample"])
 def test_exact_dedup(name, request):
     frame = request.getfixturevalue(name)
