@@ -307,7 +307,10 @@ def _co_located(texts: DataFrame) -> DataFrame:
         .format("parquet")
         .saveAsTable(name)
     )
-    return spark.table(name)
+    frame = spark.table(name)
+    # The frame knows files and buckets by now; the catalog's entry goes, the files stay.
+    spark.sql(f"DROP TABLE {name}")
+    return frame
 
 
 def _named_texts(rows: DataFrame, digits: int) -> tuple[DataFrame, DataFrame]:
