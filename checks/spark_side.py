@@ -217,16 +217,16 @@ def csv_records(spark: SparkSession, folder: str) -> DataFrame:
     record = F.concat_ws(",", *[F.coalesce(written(c), F.lit("")) for c in FLAT_HEADER])
     where = F.struct(line.alias("l"), F.col("_position.l_partkey").alias("p"), F.col("_position.l_shipdate").alias("d"))
     numbered = flat.select(
-        F.col("_position.l_orderkey").alias("file"), record.alias("text"), where.alias("where"), "_position"
+        F.col("_position.l_orderkey").alias("file"), F.split(record, "\n").alias("parts"), where.alias("where"), "_position"
     )
     order = Window.partitionBy("file").orderBy("where")
-    numbered = numbered.withColumn("nth", F.row_number().over(order))
-    lines = numbered.select(
-        "file", "nth", F.posexplode(F.split("text", "\n")).alias("part", "value")
-    ).withColumn("place", F.col("nth") * 10 + F.col("part"))
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    numbered = numbered.withColumn("nth", F.row_number().over(order)).withColumn(
+        "lines_before", F.coalesce(F.sum(F.size("parts")).over(earlier), F.lit(0))
+    )
+    lines = numbered.select("file", "lines_before", F.posexplode("parts").alias("part", "value"))
     # Splits of three lines, so that records begin and end in different ones.
-    in_file = Window.partitionBy("file").orderBy("place")
-    lines = lines.withColumn("row", F.row_number().over(in_file).cast("bigint"))
+    lines = lines.withColumn("row", (F.col("lines_before") + F.col("part") + 1).cast("bigint"))
     lines = lines.withColumn("block", F.floor(F.col("row") / 3)).select("value", "file", "block", "row")
     header = T.StructType([T.StructField(c, T.StringType()) for c in FLAT_HEADER])
     read = parsed_records(records_of(lines), header, {"escape": '"', "multiLine": True})
