@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
+import pyarrow.parquet as pq
+import pytest
+from conftest import flat_row, write_csv
 from pyspark.sql import functions as F
 
-from salestide.functions.cleaning import is_rounded, na_to_null, parse_amount
+import salestide.plans.refresh as loading
+from checks.spark_side import _without_broadcast
+from salestide.functions.cleaning import NA_TOKENS, all_na_to_null, is_rounded, na_to_null, parse_amount
 from salestide.functions.dates import parse_sale_date
+from salestide.operators.first_wins import POSITION
+from salestide.operators.star import type_rows
 from salestide.schemas import DISCOUNT, FLAT_HEADER, PRICE
 from salestide.sources import trade_tables
 from salestide.sources.flat_csv import read_flat
 
+KEY_INDEX = {"CustomerID", "ProductID", "OrderID"}
+
 
 def joins_above(plan, column: str) -> int | None:
     """Joins between the plan's top and the relation with this column."""
@@ -43,6 +54,61 @@ def test_texts_are_not_cleaned_in_the_generated_method(spark):
     assert not top.lstrip(" +-").startswith("*")
 
 
+def test_one_lambda_cleans_a_row_outside_the_generated_method(spark):
+    texts = [F.concat(F.col(f"`{h}`"), F.lit("")).alias(h) for h in FLAT_HEADER]
+    made = spark.createDataFrame([flat_row()]).select(*texts, F.struct(F.lit(1).alias("n")).alias(POSITION))
+    rows = type_rows(made.repartition(1))
+    assert [(r.OrderID, r.Region) for r in rows.collect()] == [("o1", "North")]
+    simple = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")
+    plan = rows._jdf.queryExecution().explainString(simple).splitlines()
+    cleaning = next(line for line in plan if "INSET" in line)
+    assert cleaning.count("forall") == 1, cleaning
+    assert not cleaning.lstrip(" +-").startswith("*")
+
+
+@pytest.mark.parametrize("tokens", [NA_TOKENS, ("x",), ("x", None), ()])
+def test_texts_cleaned_at_once_are_those_cleaned_by_themselves(spark, tokens):
+    given = [*NA_TOKENS, None, "x", " NA", "na ", "0", "N/A\n", "naïve"]
+    rows = spark.createDataFrame([(t, given[-1 - i]) for i, t in enumerate(given)], "a string, b string")
+    texts = [F.col("a"), F.col("b"), F.upper("a")]
+    together = rows.select(*(t.alias(str(n)) for n, t in enumerate(all_na_to_null(texts, tokens)))).collect()
+    alone = rows.select(*(na_to_null(t, tokens).alias(str(n)) for n, t in enumerate(texts))).collect()
+    assert together == alone
+
+
+def dictionaries(folder) -> dict[str, bool]:
+    """For each column of a folder's files, has it a dictionary anywhere?"""
+    found: dict[str, bool] = {}
+    for path in Path(folder).rglob("*.parquet"):
+        groups = pq.read_metadata(path)
+        for g in range(groups.num_row_groups):
+            for c in range(groups.num_columns):
+                column = groups.row_group(g).column(c)
+                name = column.path_in_schema
+                found[name] = found.get(name, False) or column.has_dictionary_page
+    return found
+
+
+def test_no_dictionaries_for_staged_rows_and_keys(spark, tmp_path, monkeypatch):
+    staged, delete = {}, loading.delete_tree
+
+    def looked_at(session, path):
+        staged.update(dictionaries(path))
+        delete(session, path)
+
+    monkeypatch.setattr(loading, "delete_tree", looked_at)
+    home = str(tmp_path / "w")
+    # Enough rows for dictionaries to be worth it to a writer that may.
+    rows = [flat_row(order=f"o{i}", product=f"p{i % 40}", customer=f"c{i % 30}") for i in range(400)]
+    with _without_broadcast(spark):
+        loading.refresh(spark, write_csv(tmp_path / "a.csv", rows), home)
+    assert "ProductName" in staged and not any(staged.values()), staged
+    orders, keys = dictionaries(f"{home}/orders"), dictionaries(f"{home}/keys")
+    assert not orders["OrderID"] and orders["Region"] and orders["ProductID"]
+    assert set(keys) == KEY_INDEX and not any(keys.values()), keys
+    assert not dictionaries(f"{home}/customers")["CustomerID"]
+
+
 def test_quick_ways_agree_with_the_full_ones(spark):
     texts = [
         "2024-01-05", "0999-12-31", "0000-01-01", "2023-02-29", "2024-02-29", "2024-13-01", "2024-1-5", "2024-01-05 ",
