@@ -20,6 +20,11 @@ one. Windows that hold fewer than two triggers have no core and are always sorte
 by one.
 
 Phrases, cores and windows are compared by 128 bits of hash, the first filter by 64.
+
+Windows of a number of words can be asked for beside those of 400 bytes, for passages
+too short for these. They go through the same steps: a window's core is the least of its
+rows of 16 words by hash (its anchor), and only anchors that stand more than once in the
+corpus are followed. Places in words are kept as -1 - place, apart from those in bytes.
 """
 
 from __future__ import annotations
@@ -27,18 +32,22 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from salestide.llm.tables import new_path, saved
+from salestide.llm.tables import new_path, saved, word_count
 
 LENGTH = 400
 TRIGGER = 8
 EVERY = 48
+ANCHOR = 16
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -58,17 +67,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Hashed:
-    """A text whose substrings' 64-bit hashes, two independent ones, cost one
-    subtraction each."""
+    """A text, or any row of numbers, given once for each hash, whose substrings' 64-bit
+    hashes, two independent ones, cost one subtraction each."""
 
-    def __init__(self, data: bytes) -> None:
-        self.raw = np.frombuffer(data, np.uint8)
+    def __init__(self, raw: np.ndarray, other: np.ndarray | None = None) -> None:
+        self.raw = raw
         self.sums, self.downs = [], []
-        size = 1 << max(12, (len(data) + 1).bit_length())
-        for base, salt in ((int(_A), 1), (int(_B), 77)):
+        size = 1 << max(12, (len(raw) + 1).bit_length())
+        for base, salt, values in ((int(_A), 1, raw), (int(_B), 77, raw if other is None else other)):
             up, down = _powers(base, size)
-            total = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum((self.raw.astype(np.uint64) + np.uint64(salt)) * up[: len(data)], out=total[1:])
+            total = np.zeros(len(raw) + 1, np.uint64)
+            np.cumsum((values.astype(np.uint64) + np.uint64(salt)) * up[: len(raw)], out=total[1:])
             self.sums.append(total)
             self.downs.append(down)
 
@@ -84,6 +93,13 @@ class Hashed:
         start = np.arange(max(0, len(self) - TRIGGER + 1))
         return start[self.of(start, start + TRIGGER, 0) % np.uint64(EVERY) == 0]
 
+    def words(self) -> Hashed:
+        """The words of a text, each by its two hashes."""
+        inside = np.concatenate([[False], ~_SPACE[self.raw], [False]]).astype(np.int8)
+        edges = np.diff(inside)
+        start, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        return Hashed(self.of(start, end, 0), self.of(start, end, 1))
+
 
 def phrases(text: Hashed) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the whole phrases, from trigger to trigger."""
@@ -110,13 +126,30 @@ def _windows_by_core(text: Hashed) -> tuple[np.ndarray, ...]:
     return at, first, last, np.where(whole, left, -1), np.where(whole, right, -1)
 
 
+def _windows_by_anchor(words: Hashed, length: int) -> tuple[np.ndarray, ...]:
+    """The windows of so many words as runs that share an anchor: the anchor's place and
+    key, and the first and last start of each run. Equal windows have equal anchors, at
+    the same place in the window."""
+    if len(words) < length:
+        return tuple(np.array([], t) for t in (np.int64, np.int64, np.int64, np.int64))
+    size = min(ANCHOR, length)
+    place = np.arange(len(words) - size + 1)
+    rows = words.of(place, place + size, 0)
+    least = np.lib.stride_tricks.sliding_window_view(rows, length - size + 1).argmin(axis=1)
+    least += np.arange(len(least))
+    new = np.flatnonzero(np.diff(least)) + 1
+    first = np.concatenate([[0], new])
+    last = np.concatenate([new, [len(least)]]) - 1
+    return least[first], _signed(_mix(rows[least[first]] + _A)), first, last
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
 def _rows(batch: pd.DataFrame) -> Iterator[tuple[object, Hashed]]:
     for key, text in zip(batch["_id"], batch["_text"]):
-        yield key, Hashed((text or "").encode("utf-8", "surrogatepass"))
+        yield key, Hashed(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8))
 
 
 def _first_of(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,8 +172,8 @@ def _deal(keys: np.ndarray, first: np.ndarray, ids: np.ndarray, places: np.ndarr
     return np.where(first, keys, anywhere)
 
 
-def _phrase_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Hash and place of each phrase, and how often the batch holds it."""
+def _phrase_keys(batches: Iterator[pd.DataFrame], words: int | None) -> Iterator[pd.DataFrame]:
+    """Hash and place of each phrase and anchor, and how often the batch holds it."""
     for batch in batches:
         ids, places, keys = [], [], []
         for key, text in _rows(batch):
@@ -149,6 +182,11 @@ def _phrase_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 ids.append(np.full(len(start), key, np.int64))
                 places.append(np.arange(len(start), dtype=np.int64))
                 keys.append(_signed(text.of(start, end, 0)))
+            if words:
+                at, anchor, _, _ = _windows_by_anchor(text.words(), words)
+                ids.append(np.full(len(at), key, np.int64))
+                places.append(-1 - at)
+                keys.append(anchor)
         if ids:
             i, p, k = map(np.concatenate, (ids, places, keys))
             first, times = _first_of(k)
@@ -161,18 +199,26 @@ def _bitmap(places: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _core_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _core_rows(batches: Iterator[pd.DataFrame], words: int | None) -> Iterator[pd.DataFrame]:
     """Runs of windows over one core, where all its phrases are repeated: a hash of the
     core; two of all that the run's windows cover, with the core's place in it; where
     the run is; and how often the batch holds an equal one. Runs of windows without a
-    core come with a 0 for that."""
+    core come with a 0 for that. So do runs of windows of words over one anchor."""
     for batch in batches:
         parts = []
         for (key, text), repeated in zip(_rows(batch), batch["_places"]):
+            places = np.array(repeated if repeated is not None else [], np.int64)
+            if words and (places < 0).any():
+                said = text.words()
+                found = _windows_by_anchor(said, words)
+                again = np.isin(found[0], -1 - places[places < 0])
+                at, core, first, last = (x[again] for x in found)
+                inside = (at - first).astype(np.uint64)
+                wide = [_signed(_mix(said.of(first, last + words, w) + inside * _A)) for w in (0, 1)]
+                whose, cored = np.full(len(at), key, np.int64), np.ones(len(at), bool)
+                parts.append((whose, -1 - last, -1 - first, core, *wide, cored))
             at, first, last, left, right = _windows_by_core(text)
-            known = _bitmap(
-                np.array(repeated if repeated is not None else [], np.int64), max(0, len(at) - 1)
-            )
+            known = _bitmap(places[places >= 0], max(0, len(at) - 1))
             upto = np.concatenate([[0], np.cumsum(known)])
             cored = left >= 0
             good = ~cored
@@ -205,7 +251,7 @@ def _core_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             )
 
 
-def _window_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _window_rows(batches: Iterator[pd.DataFrame], words: int | None) -> Iterator[pd.DataFrame]:
     """The windows of the runs asked for: two hashes, the start, and how often the
     batch holds an equal one."""
     for batch in batches:
@@ -214,7 +260,15 @@ def _window_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             start = np.concatenate([np.arange(r["first"], r["last"] + 1) for r in runs])
             ids.append(np.full(len(start), key, np.int64))
             starts.append(start)
-            hashes.append([_signed(text.of(start, start + LENGTH, w)) for w in (0, 1)])
+            at, place = start[start >= 0], -1 - start[start < 0]
+            said = text.words() if len(place) else text
+            hashes.append(
+                [
+                    _signed(np.concatenate([text.of(at, at + LENGTH, w), _mix(said.of(place, place + (words or 0), w) + _A)]))
+                    for w in (0, 1)
+                ]
+            )
+            starts[-1] = np.concatenate([at, -1 - place])
         if ids:
             i, start = np.concatenate(ids), np.concatenate(starts)
             a, b = (np.concatenate([h[w] for h in hashes]) for w in (0, 1))
@@ -224,28 +278,38 @@ def _window_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             )
 
 
-def _digest_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _covered(first: np.ndarray, stop: np.ndarray, n: int) -> np.ndarray:
+    change = np.bincount(first, minlength=n + 1) - np.bincount(stop, minlength=n + 1)
+    return np.cumsum(change)[:n] > 0
+
+
+def _digest_rows(batches: Iterator[pd.DataFrame], words: int | None) -> Iterator[pd.DataFrame]:
     """What is left of each text, by its digest, given the runs of windows that repeat."""
     for batch in batches:
         rows = []
         for text, runs in zip(batch["_text"], batch["_runs"]):
             data = (text or "").encode("utf-8", "surrogatepass")
             first = np.array([r["first"] for r in runs], np.int64)
-            stop = np.array([r["last"] for r in runs], np.int64) + LENGTH
-            change = np.bincount(first, minlength=len(data) + 1) - np.bincount(stop, minlength=len(data) + 1)
-            gone = np.cumsum(change)[: len(data)] > 0
+            last = np.array([r["last"] for r in runs], np.int64)
+            said = first < 0
+            gone = _covered(first[~said], last[~said] + LENGTH, len(data))
+            told = 0
+            if said.any():
+                start, stop = -1 - last[said], -1 - first[said] + words
+                told = int(_covered(start, stop, int(stop.max())).sum())
             left = np.frombuffer(data, np.uint8)[~gone].tobytes()
             starts = np.flatnonzero(np.diff(np.concatenate([[False], gone]).astype(np.int8)) == 1)
             whole = hashlib.sha256(data).hexdigest()
-            rows.append((whole, int(gone.sum()), len(starts), hashlib.sha256(left).hexdigest()))
-        yield pd.DataFrame(rows, columns=["_sha", "n_removed", "n_spans", "kept_sha256"])
+            rows.append((whole, int(gone.sum()), len(starts), hashlib.sha256(left).hexdigest(), told))
+        yield pd.DataFrame(rows, columns=["_sha", "n_removed", "n_spans", "kept_sha256", "n_repeated_words"])
 
 
-def repeated_runs(texts: DataFrame) -> DataFrame:
+def repeated_runs(texts: DataFrame, words: int | None = None) -> DataFrame:
     """``_id``, ``first``, ``last``: runs of starts of 400-byte windows that stand
-    somewhere else too, from rows (_id, _text) with unique ids."""
+    somewhere else too, from rows (_id, _text) with unique ids. With ``words``, also
+    runs of windows of so many words, as -1 - start."""
     # The dictionary: phrases that stand more than once.
-    keys = texts.mapInPandas(_phrase_keys, "key long, _id long, place long, n long")
+    keys = texts.mapInPandas(partial(_phrase_keys, words=words), "key long, _id long, place long, n long")
     often = keys.withColumn("n", F.sum("n").over(Window.partitionBy("key"))).where("n > 1")
     known = often.groupBy("_id").agg(F.collect_list("place").alias("_places"))
 
@@ -253,7 +317,7 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
     # another's is repeated whole. Where equal cores differ around, one run of each
     # kind is looked at window by window.
     kind = "core long, a long, b long, _id long, first long, last long, n long, one boolean"
-    runs = texts.join(known, "_id", "left").mapInPandas(_core_rows, kind)
+    runs = texts.join(known, "_id", "left").mapInPandas(partial(_core_rows, words=words), kind)
     core, same = Window.partitionBy("core"), Window.partitionBy("core", "a", "b")
     place = F.struct("_id", "first")
     judged = runs.select(
@@ -277,7 +341,7 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
         F.collect_list(F.struct("first", "last")).alias("_runs")
     )
     windows = texts.join(asked, "_id").mapInPandas(
-        _window_rows, "a long, b long, _id long, start long, n long"
+        partial(_window_rows, words=words), "a long, b long, _id long, start long, n long"
     )
     again = windows.withColumn("n", F.sum("n").over(Window.partitionBy("a", "b"))).where("n > 1")
     # Neighbouring starts become one run. Long texts are numbered stretch by stretch.
@@ -335,7 +399,11 @@ def _named_texts(rows: DataFrame, digits: int) -> tuple[DataFrame, DataFrame]:
 
 
 def without_repeats(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", name_digits: int = 15
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    name_digits: int = 15,
+    words: int | None = None,
 ) -> DataFrame:
     """``key``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256`` for each row:
     bytes covered by a 400-byte string that also starts anywhere else are removed.
@@ -343,28 +411,42 @@ def without_repeats(
     A null text counts as empty. Rows are told apart by key and text; rows that repeat
     both are copies, so all of their text is repeated if it has 400 bytes, and they get
     one row each. Null keys are keys like any other. An empty table gives no rows.
+
+    With ``words``, ``n_repeated_words`` follows: words covered by a row of so many words
+    that also starts anywhere else, whatever whitespace is between them. They stay.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     sha = F.sha2(whole, 256)
     # Equal texts repeat each other whole, so one of each stands for all.
     rows = docs.select(F.col(key).alias("_key"), whole.alias("_text"), sha.alias("_sha"))
+    if words:
+        rows = rows.withColumn("_words", word_count(F.col("_text")))
     named, copies = _named_texts(rows, name_digits)
     texts = _co_located(named.select("_id", "_text"))
-    runs = repeated_runs(texts).groupBy("_id").agg(
+    runs = repeated_runs(texts, words).groupBy("_id").agg(
         F.collect_list(F.struct("first", "last")).alias("_runs")
     )
     cleaned = texts.join(runs, "_id").mapInPandas(
-        _digest_rows, "_sha string, n_removed long, n_spans long, kept_sha256 string"
+        partial(_digest_rows, words=words),
+        "_sha string, n_removed long, n_spans long, kept_sha256 string, n_repeated_words long",
     )
-    answers = copies.join(cleaned, "_sha", "left").select("_sha", "copies", "n_removed", "n_spans", "kept_sha256")
-    out = named.select("_key", "_sha", F.octet_length("_text").cast("long").alias("n_bytes")).join(
-        answers, "_sha"
+    answers = copies.join(cleaned, "_sha", "left").select(
+        "_sha", "copies", "n_removed", "n_spans", "kept_sha256", *(["n_repeated_words"] if words else [])
     )
+    out = named.select(
+        "_key", "_sha", F.octet_length("_text").cast("long").alias("n_bytes"), *(["_words"] if words else [])
+    ).join(answers, "_sha")
     all_gone = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
+    told = []
+    if words:
+        all_told = (F.col("copies") > 1) & (F.col("_words") >= words)
+        some = F.coalesce("n_repeated_words", F.lit(0))
+        told = [F.when(all_told, F.col("_words")).otherwise(some).alias("n_repeated_words")]
     return out.select(
         F.col("_key").alias(key),
         "n_bytes",
         F.when(all_gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(all_gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(all_gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "_sha")).alias("kept_sha256"),
+        *told,
     )
