@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 
 import numpy as np
@@ -67,25 +67,29 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Hashed:
-    """A text, or any row of numbers, given once for each hash, whose substrings' 64-bit
-    hashes, two independent ones, cost one subtraction each."""
-
-    def __init__(self, raw: np.ndarray, other: np.ndarray | None = None) -> None:
-        self.raw = raw
-        self.sums, self.downs = [], []
-        size = 1 << max(12, (len(raw) + 1).bit_length())
-        for base, salt, values in ((int(_A), 1, raw), (int(_B), 77, raw if other is None else other)):
-            up, down = _powers(base, size)
-            total = np.zeros(len(raw) + 1, np.uint64)
-            np.cumsum((values.astype(np.uint64) + np.uint64(salt)) * up[: len(raw)], out=total[1:])
-            self.sums.append(total)
-            self.downs.append(down)
+    """A text, or any row of numbers, whose substrings' 64-bit hashes, two independent
+    ones, cost one subtraction each. ``other`` makes the numbers for the second hash if
+    they differ; sums are made once a hash is asked for."""
+
+    def __init__(self, raw: np.ndarray, other: Callable[[], np.ndarray] | None = None) -> None:
+        self.raw, self.other = raw, other
+        self.sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _sums(self, which: int) -> tuple[np.ndarray, np.ndarray]:
+        if which not in self.sums:
+            base, salt = ((int(_A), 1), (int(_B), 77))[which]
+            values = self.other() if which and self.other else self.raw
+            up, down = _powers(base, 1 << max(12, (len(values) + 1).bit_length()))
+            total = np.zeros(len(values) + 1, np.uint64)
+            np.cumsum((values.astype(np.uint64) + np.uint64(salt)) * up[: len(values)], out=total[1:])
+            self.sums[which] = total, down
+        return self.sums[which]
 
     def __len__(self) -> int:
         return len(self.raw)
 
     def of(self, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
-        total, down = self.sums[which], self.downs[which]
+        total, down = self._sums(which)
         return _mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _B)
 
     def triggers(self) -> np.ndarray:
@@ -95,10 +99,9 @@ class Hashed:
 
     def words(self) -> Hashed:
         """The words of a text, each by its two hashes."""
-        inside = np.concatenate([[False], ~_SPACE[self.raw], [False]]).astype(np.int8)
-        edges = np.diff(inside)
-        start, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-        return Hashed(self.of(start, end, 0), self.of(start, end, 1))
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[self.raw], [True]])))
+        start, end = edges[::2], edges[1::2]
+        return Hashed(self.of(start, end, 0), lambda: self.of(start, end, 1))
 
 
 def phrases(text: Hashed) -> tuple[np.ndarray, np.ndarray]:
