@@ -31,6 +31,15 @@ def spark():
     session.stop()
 
 
+@pytest.fixture(autouse=True)
+def no_views_left(request):
+    """The session is shared: the store's views of one test are not there in the next."""
+    yield
+    if "spark" in request.fixturenames:
+        for view in ("Customers", "Products", "Orders"):
+            request.getfixturevalue("spark").catalog.dropTempView(view)
+
+
 def order(order_id, product, customer, day, quantity, price, discount, shipping, region):
     """One Orders row from short values; money is given as text."""
     amounts = (None if x is None else Decimal(x) for x in (quantity, price, discount, shipping))
